@@ -19,10 +19,13 @@ BLOCK_BYTES = 16_384
 def _ranked(distinct: DataFrame, keys: list[str], name: str) -> DataFrame:
     """Sort the distinct keys over the whole table; the place in that order becomes the column `name`.
 
-    After a range partitioning and a sort within partitions, (partition << 33) + row is increasing in sort order. The
-    result is written before use, so a lost executor cannot renumber it.
+    The order is by a short hash first, then by the keys themselves, so that the sample which sets the ranges holds eight
+    bytes a key and not whole blocks. After a range partitioning by the hash and a sort within partitions by hash and keys,
+    (partition << 33) + row is increasing in that order. The result is written before use, so a lost executor cannot
+    renumber it.
     """
-    ordered = distinct.repartitionByRange(*keys).sortWithinPartitions(*keys)
+    hashed = distinct.withColumn("__h", F.xxhash64(*keys))
+    ordered = hashed.repartitionByRange("__h").sortWithinPartitions("__h", *keys).drop("__h")
     return cut(ordered.withColumn(name, F.monotonically_increasing_id()), "names")
 
 
@@ -76,6 +79,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     twins = cut(rows.join(shared, ["h", "n"], "left_semi").select(F.monotonically_increasing_id().alias("uid"), "doc_id", "body", sha), "twins")
     named = cut(text_names(twins.select("uid", "body"), block_bytes).join(twins.select("uid", "doc_id", "text_sha256"), "uid"), "named")
     groups = named.groupBy("level", "name").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"), F.max(F.struct("doc_id", "uid")).alias("best"))
+    groups = cut(groups, "groups")  # the join then has exchanges of its own, which adaptive execution can split at hot names
     met = named.join(groups, ["level", "name"]).select("doc_id", "keep_id", "group_size", (F.col("uid") == F.col("best.uid")).alias("kept"), "text_sha256")
     return alone.unionByName(met)
 
