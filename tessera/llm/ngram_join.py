@@ -1,13 +1,14 @@
 """Exact Jaccard self-join of word-shingle sets by a prefix-tree join, reduced to components.
 
-Sets are ordered by one global order, frequent shingles last. Two sets that are similar enough share a shingle within
-the first part of both (the prefix); rows of prefix shingles meet in one shuffle. Sets that meet are compared through a
-trie of ordered sets: a probe walks it once, sets that begin alike share the partial overlap, and a subtree is left as
-soon as what remains cannot reach the threshold.
-
-A group of thousands of near copies would meet in all pairs. So the sets that meet on a shingle are first compared with
-one of them each (a star), components are formed, and only then are sets of different components that still meet
-compared in pairs. Pairs within a component can change nothing and are never made; no pair between components is left out.
+Sets are ordered by one global order, frequent shingles last. Rows of the first part of each ordered set meet in one
+shuffle. That part is longer than the prefix that similar sets must share one name of: over a longer part they must share
+many, so a set that shares fewer names with all others together is settled by a count, and only the rest is compared.
+Sets are compared through a trie of ordered sets: a probe walks it once, sets that begin alike share the partial overlap,
+and a subtree is left as soon as what remains cannot reach the threshold.
+
+A group of thousands of near copies would meet in all pairs. So each set is first compared with one that it often meets
+(stars), components are formed, and only then are sets of different components that still meet often enough compared in
+pairs. Pairs within a component can change nothing and are never made; no pair between components is left out.
 """
 
 from __future__ import annotations
@@ -25,6 +26,10 @@ from .components import connected_components
 SHINGLE, PERCENT = 5, 75
 #: Shingles that the order puts last, at most; others keep their hash order. The order steers work, not results.
 MAX_FREQUENT = 1 << 18
+#: The share of each ordered set, in per cent, that takes part in the shuffle; at least the prefix.
+PART = 35
+#: Bits in the bitmap of the texts whose sets are needed again, a fixed 8 MB; when it fills up, more sets than needed are made.
+BITMAP = 1 << 26
 #: Shingles counted at a time; one that a block holds once is not carried on (lossy counting).
 BLOCK = 1 << 21
 #: Sets that one task compares with one probe before the rest go to another.
@@ -90,6 +95,18 @@ def prefix_size(n: int, percent: int = PERCENT) -> int:
     return n - -(-percent * n // 100) + 1
 
 
+def part_size(n: int, percent: int = PERCENT) -> int:
+    return max(prefix_size(n, percent), -(-PART * n // 100))
+
+
+def _shared_at_least(n, m, percent: int):
+    """Names that the parts of two sets of n and m names share at least if the sets reach the threshold. All common names
+    up to the end of the part that ends first are in both parts; the others lie in the rest of that set."""
+    alpha = -(-percent * (n + m) // (100 + percent))
+    rest = [x - np.maximum(x - -(-percent * x // 100) + 1, -(-PART * x // 100)) for x in (n, m)]
+    return np.maximum(1, alpha - np.maximum(*rest))
+
+
 class Order:
     """The global order: by count among the frequent names, 0 for all others, then by name."""
 
@@ -201,27 +218,27 @@ def _first_pass(docs: DataFrame, size: int) -> DataFrame:
     return docs.mapInArrow(run, f"doc_id {kind}, th long, n long, d0 long, d1 long, g long, c long")
 
 
-def _prefixes(docs: DataFrame, order: Order, size: int, percent: int) -> DataFrame:
-    """(g, d, n, pos) for each prefix name of each distinct set of a task."""
+def _parts(docs: DataFrame, order: Order, size: int, percent: int) -> DataFrame:
+    """(g, d, n) for each name in the part of each distinct set of a task. g has 48 bits: names that fall together by chance
+    only add work."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
-            g, d, n, pos = [], [], [], []
+            g, d, n = [], [], []
             for body in batch.column(2).to_pylist():
                 names = shingles(body, size)
                 if not len(names) or (key := digest(names)[0]) in seen:
                     continue
                 seen.add(key)
-                k = prefix_size(len(names), percent)
-                g.append(order.sort(names)[:k])
+                k = part_size(len(names), percent)
+                g.append(order.sort(names)[:k] >> np.uint64(16))
                 d.append(np.full(k, key, dtype=np.int64))
                 n.append(np.full(k, len(names), dtype=np.int32))
-                pos.append(np.arange(k, dtype=np.int32))
             if g:
-                yield pa.RecordBatch.from_arrays([_signed(np.concatenate(g)), *(pa.array(np.concatenate(c)) for c in (d, n, pos))], ["g", "d", "n", "pos"])
+                yield pa.RecordBatch.from_arrays([_signed(np.concatenate(g)), pa.array(np.concatenate(d)), pa.array(np.concatenate(n))], ["g", "d", "n"])
 
-    return docs.mapInArrow(run, "g long, d long, n int, pos int")
+    return docs.mapInArrow(run, "g long, d long, n int")
 
 
 def _runs(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[list[np.ndarray]]:
@@ -241,31 +258,43 @@ def _runs(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[list[np.nda
         yield rest
 
 
-def _meetings(prefixes: DataFrame, percent: int) -> DataFrame:
-    """(g, d, n, pos, lead): the rows whose name several sets have; lead is the set that d is first compared with, the
-    smallest of the run that is not too small for it."""
+def _meetings(parts: DataFrame, percent: int) -> DataFrame:
+    """(g, d, n, lead): the rows whose name another set of a fitting size has, too; lead is the smallest set of the run that
+    is not too small for d."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for g, d, n, pos in _runs(batches, 4):
+        for g, d, n in _runs(batches, 3):
             fresh = np.r_[True, (g[1:] != g[:-1]) | (d[1:] != d[:-1])]  # equal sets of several tasks
-            g, d, n, pos = g[fresh], d[fresh], n[fresh], pos[fresh]
-            first = np.r_[True, g[1:] != g[:-1]]
-            start = np.nonzero(first)[0]
-            size = np.diff(np.r_[start, len(g)])
-            many = np.repeat(size > 1, size)
-            if not many.any():
+            g, d, n = g[fresh], d[fresh], n[fresh].astype(np.int64)
+            fits = (g[1:] == g[:-1]) & (100 * n[:-1] >= percent * n[1:])  # sizes rise within a run
+            keep = np.r_[False, fits] | np.r_[fits, False]
+            if not keep.any():
                 continue
-            g, d, n, pos, first = g[many], d[many], n[many], pos[many], first[many]
-            lead, at = np.zeros(len(g), dtype=np.int64), 0
-            small = n.tolist()
-            for k, new in enumerate(first.tolist()):
-                if new or 100 * small[at] < percent * small[k]:
-                    at = k
-                lead[k] = at
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in (g, d, n, pos, d[lead])], ["g", "d", "n", "pos", "lead"])
-
-    rows = prefixes.repartition("g").sortWithinPartitions("g", "n", "d")
-    return rows.mapInArrow(run, "g long, d long, n int, pos int, lead long")
+            g, d, n = g[keep], d[keep], n[keep]
+            lead, at, last = [], 0, None
+            for k, (name, m) in enumerate(zip(g.tolist(), n.tolist())):
+                if name != last or 100 * small < percent * m:
+                    at, last, small = k, name, m
+                lead.append(at)
+            yield pa.RecordBatch.from_arrays([pa.array(g), pa.array(d), pa.array(n.astype(np.int32)), pa.array(d[lead])], ["g", "d", "n", "lead"])
+
+    rows = parts.repartition("g").sortWithinPartitions("g", "n", "d")
+    return rows.mapInArrow(run, "g long, d long, n int, lead long")
+
+
+def _open_sets(meetings: DataFrame, percent: int) -> DataFrame:
+    """(d): the sets that meet others often enough for a link to be possible at all."""
+    n = F.col("n").cast("long")
+    up = lambda a, b: F.expr(f"(({a}) + {b} - 1) div {b}")
+    counts = meetings.groupBy("d", "n").agg(F.count(F.lit(1)).alias("c"))
+    counts = counts.withColumn("n", n).withColumn("lo", up(f"{percent} * n", 100)).withColumn("hi", F.expr(f"100 * n div {percent}"))
+    part = lambda x: F.greatest(F.expr(f"{x}") - up(f"{percent} * {x}", 100) + 1, up(f"{PART} * {x}", 100))
+    least = None
+    for m in ("lo", "hi"):
+        alpha = up(f"{percent} * (n + {m})", 100 + percent)
+        value = alpha - F.greatest(F.col("n") - part("n"), F.col(m) - part(m))
+        least = value if least is None else F.least(least, value)
+    return counts.where(F.col("c") >= least - 2).select("d")  # 2: between the ends, rounding may take one or two off
 
 
 def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -302,35 +331,60 @@ def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return rows.mapInArrow(run, "a long, b long")
 
 
-def _across(meetings: DataFrame, components: DataFrame, percent: int) -> DataFrame:
-    """Pairs of sets of different components that meet, pass the bounds on sizes and places, and were not compared yet."""
+def _across(meetings: DataFrame, components: DataFrame, tested: DataFrame, percent: int) -> DataFrame:
+    """Pairs of sets of different components that share enough names of their parts and were not compared yet."""
     comp = components.select(F.col("node").alias("d"), "component")
     rows = meetings.join(comp, "d", "left").withColumn("component", F.coalesce("component", "d"))
-    rows = cut(rows.select("g", "d", "n", "pos", "component"), "met")
+    rows = cut(rows.select("g", "d", "n", "component"), "met")
     mixed = rows.groupBy("g").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("g")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for g, d, n, pos, c in _runs(batches, 5):
+        held: list[np.ndarray] = []
+        count = 0
+
+        def counted() -> pa.RecordBatch:
+            pairs, c = np.unique(np.concatenate(held), axis=0, return_counts=True)
+            return pa.RecordBatch.from_arrays([*(pa.array(pairs[:, k]) for k in range(4)), pa.array(c, pa.int64())], ["a", "b", "na", "nb", "c"])
+
+        for g, d, n, comp_ in _runs(batches, 4):
             start = np.r_[np.nonzero(np.r_[True, g[1:] != g[:-1]])[0], len(g)]
-            a, b = [], []
             for lo, hi in zip(start[:-1].tolist(), start[1:].tolist()):
-                ns, ps, cs, ds = (x[lo:hi].astype(np.int64) for x in (n, pos, c, d))
+                ns, cs, ds = n[lo:hi].astype(np.int64), comp_[lo:hi], d[lo:hi]
                 last = np.searchsorted(ns, ns * 100 // percent, side="right")  # sizes rise
                 for k in range(hi - lo - 1):
                     j = np.arange(k + 1, last[k])
                     j = j[cs[j] != cs[k]]
-                    most = 1 + np.minimum(ns[k] - ps[k], ns[j] - ps[j]) - 1 + np.minimum(ps[k], ps[j])
-                    j = j[100 * most >= percent * (ns[k] + ns[j] - most)]
                     if len(j):
-                        a.append(np.minimum(ds[k], ds[j]))
-                        b.append(np.maximum(ds[k], ds[j]))
-            if a:
-                pairs = np.unique(np.stack([np.concatenate(a), np.concatenate(b)]), axis=1)
-                yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["a", "b"])
+                        held.append(np.stack([np.full(len(j), ds[k]), ds[j], np.full(len(j), ns[k]), ns[j]], axis=1))
+                        count += len(j)
+                if count >= BLOCK:
+                    yield counted()
+                    held, count = [], 0
+        if held:
+            yield counted()
+
+    found = rows.join(mixed, "g", "left_semi").repartition("g").sortWithinPartitions("g", "n", "d").mapInArrow(run, "a long, b long, na long, nb long, c long")
+    found = found.groupBy("a", "b", "na", "nb").agg(F.sum("c").alias("c"))
+
+    def enough(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b, na, nb, c = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(5))
+            keep = c >= _shared_at_least(na, nb, percent)
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)[keep]), pa.array(np.maximum(a, b)[keep])], ["a", "b"])
+
+    found = found.mapInArrow(enough, "a long, b long")
+    done = tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    return found.join(done, ["a", "b"], "left_anti")
+
 
-    found = rows.join(mixed, "g", "left_semi").repartition("g").sortWithinPartitions("g", "n", "d").mapInArrow(run, "a long, b long").distinct()
-    tested = meetings.where("lead <> d").select(F.least("lead", "d").alias("a"), F.greatest("lead", "d").alias("b")).distinct()
-    return found.join(tested, ["a", "b"], "left_anti")
+def _bitmap(hashes: DataFrame) -> np.ndarray:
+    """A bitmap of BITMAP bits in which the hashes (th) are set; its size does not depend on their number."""
+    place = F.pmod(F.col("th"), F.lit(BITMAP))
+    words = hashes.select((place / 64).cast("long").alias("w"), F.expr("shiftleft(1L, cast(pmod(th, 64) as int))").alias("b"))
+    found = words.groupBy("w").agg(F.bit_or("b").alias("b")).toPandas()  # at most BITMAP / 64 rows
+    bits = np.zeros(BITMAP // 64, dtype=np.uint64)
+    bits[found["w"].to_numpy(np.int64)] = found["b"].to_numpy(np.int64).view(np.uint64)
+    return bits
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -352,24 +406,28 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     top = frequent.orderBy(F.desc("c"), "g").limit(MAX_FREQUENT).toPandas()  # at most MAX_FREQUENT rows
     order = Order(top["g"].to_numpy(np.int64).view(np.uint64), top["c"].to_numpy(np.int64))
 
-    meetings = cut(_meetings(_prefixes(rows, order, size, percent), percent), "meetings")
-    stars = cut(meetings.where("lead <> d").select(F.col("lead").alias("a"), F.col("d").alias("b")).distinct(), "stars")
-    wanted = meetings.select(F.col("d").alias("d0")).distinct().join(classes, "d0").select("th").distinct()
+    meetings = cut(_meetings(_parts(rows, order, size, percent), percent), "meetings")
+    open_ = cut(_open_sets(meetings, percent), "open")
+    meetings = cut(meetings.join(open_, "d", "left_semi"), "meetings")
+    stars = meetings.join(open_.withColumnRenamed("d", "lead"), "lead", "left_semi").where("lead <> d")
+    stars = stars.groupBy("d", "lead").agg(F.count(F.lit(1)).alias("c")).groupBy("d").agg(F.max_by("lead", F.struct("c", "lead")).alias("a"))
+    stars = cut(stars.select("a", F.col("d").alias("b")), "stars")
+    wanted = _bitmap(open_.select(F.col("d").alias("d0")).join(classes, "d0").select("th"))
 
     def ordered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            d, names = [], []
-            for body in batch.column(0).to_pylist():
-                s = shingles(body, size)
-                d.append(digest(s)[0])
-                names.append(order.sort(s).astype("<u8").tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(d, pa.int64()), pa.array(names, pa.binary())], ["d", "names"])
+            th = batch.column(0).to_numpy()
+            at = th % BITMAP
+            hit = np.nonzero(wanted[at // 64] >> (at % 64).astype(np.uint64) & np.uint64(1))[0]
+            for lo in range(0, len(hit), 1000):
+                sets = [shingles(body, size) for body in batch.column(1).take(pa.array(hit[lo : lo + 1000])).to_pylist()]
+                yield pa.RecordBatch.from_arrays([pa.array([digest(x)[0] for x in sets], pa.int64()), pa.array([order.sort(x).astype("<u8").tobytes() for x in sets], pa.binary())], ["d", "names"])
 
-    bodies = rows.select("th", "body").join(wanted, "th", "left_semi").dropDuplicates(["th"]).select("body")
-    sets = cut(bodies.mapInArrow(ordered, "d long, names binary"), "ordered")
+    sets = rows.select("th", "body").mapInArrow(ordered, "d long, names binary").join(open_, "d", "left_semi")
+    sets = cut(sets.dropDuplicates(["d"]), "ordered")
 
     links = cut(_linked(stars, sets, percent), "links")
-    across = cut(_across(meetings, connected_components(links), percent), "across")
+    across = cut(_across(meetings, connected_components(links), stars, percent), "across")
     links = links.unionByName(_linked(across, sets, percent))
     nodes = connected_components(links).withColumnRenamed("node", "d0")
 
