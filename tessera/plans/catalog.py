@@ -60,8 +60,8 @@ def p12_message_filter_blank(spark, sf_dir):
 
 
 CONTENTS = [
-    (1, '"plain"'), (2, "null"), (3, '[{"type":"text","text":"hello"},{"type":"image_url","image_url":{"url":"x"}}]'), (4, '[{"type":"cell","id":"c1","value":"28"}]'),
-    (5, '[{"type":"text","text":42}]'), (6, "[]"), (7, '{"a":1,"b":[true,null]}'), (8, "12"), (9, "true"), (10, '["one","two"]'), (11, '[{"type":"image","x":1}]'), (12, '["  "]'), (13, "1.5"),
+    (1, '"plain"'), (2, "null"), (3, '[{"type":"text","text":"hello"},{"type":"image_url","image_url":{"url":"x"}}]'), (4, '[{"id":"c1","type":"cell","value":"28"}]'),
+    (5, '[{"text":42,"type":"text"}]'), (6, "[]"), (7, '{"a":1,"b":[true,null]}'), (8, "12"), (9, "true"), (10, '["one","two"]'), (11, '[{"type":"image","x":1}]'), (12, '["  "]'), (13, "1.5"),
     (14, '["a",{"type":"text","text":"b"},{"type":"input_image"}]'), (15, '"caf\\u00e9"'),
 ]
 
@@ -221,7 +221,6 @@ def s06_ledger_gate(spark, sf_dir):
 
 @query("select conv_id, turn, row_number() over (partition by conv_id order by turn)::int as seq from conversations where text is not null and regexp_matches(text, '[^ ]')")
 def g02_seq_assign(spark, sf_dir):
-    m = P.drop_blank(deco.messages(spark, sf_dir).withColumn("content", F.element_at(F.split("content", ": ", 2), 2)))
     m = G.assign_seq(P.drop_blank(deco.messages(spark, sf_dir)))
     return m.select(F.col("arrival").alias("conv_id"), F.col("idx").cast("long").alias("turn"), F.col("seq").cast("int").alias("seq"))
 

@@ -11,7 +11,7 @@ from ..operators import index as I
 from ..operators import segments as G
 
 SPEAKERS = ("Alice", "Bob", "Carol", "Maria")
-PEOPLE = ("Caroline", "Caro", "Melanie", "Mel", "Roberto")
+PEOPLE = ("Caroline", "Caro", "Melanie", "Mel", "Roberto", "Ann", "Annabella", "Joanne")
 FIRST_MS, DAY_MS, TURN_MS = 1704067200000, 86400000, 61000
 
 #: (query_id, user_id, query, options, top_k)
