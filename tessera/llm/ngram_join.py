@@ -31,7 +31,7 @@ PART = 35
 #: Bits in the bitmap of the texts whose sets are needed again, a fixed 8 MB; when it fills up, more sets than needed are made.
 BITMAP = 1 << 26
 #: Shingles counted at a time; one that a block holds once is not carried on (lossy counting).
-BLOCK = 1 << 21
+BLOCK = 1 << 20
 #: Sets that one task compares with one probe before the rest go to another.
 PROBED = 1000
 
@@ -171,6 +171,15 @@ class Trie:
                     yield number
 
 
+#: Texts, and rows of output, that a Python worker holds at a time.
+TEXTS, ROWS = 256, 1 << 18
+
+
+def _bodies(column: pa.Array) -> Iterator[bytes]:
+    for at in range(0, len(column), TEXTS):
+        yield from column.slice(at, TEXTS).to_pylist()
+
+
 def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(np.ascontiguousarray(x).view(np.int64))
 
@@ -195,7 +204,7 @@ def _first_pass(docs: DataFrame, size: int) -> DataFrame:
             kind = batch.schema.field(0).type
             n, d0, d1 = [], [], []
             seen = set()
-            for body in batch.column(2).to_pylist():
+            for body in _bodies(batch.column(2)):
                 names = shingles(body, size)
                 a, b = digest(names)
                 n.append(len(names))
@@ -224,9 +233,13 @@ def _parts(docs: DataFrame, order: Order, size: int, percent: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
+        g, d, n, held = [], [], [], 0
+
+        def out() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([_signed(np.concatenate(g)), pa.array(np.concatenate(d)), pa.array(np.concatenate(n))], ["g", "d", "n"])
+
         for batch in batches:
-            g, d, n = [], [], []
-            for body in batch.column(2).to_pylist():
+            for body in _bodies(batch.column(2)):
                 names = shingles(body, size)
                 if not len(names) or (key := digest(names)[0]) in seen:
                     continue
@@ -235,8 +248,12 @@ def _parts(docs: DataFrame, order: Order, size: int, percent: int) -> DataFrame:
                 g.append(order.sort(names)[:k] >> np.uint64(16))
                 d.append(np.full(k, key, dtype=np.int64))
                 n.append(np.full(k, len(names), dtype=np.int32))
-            if g:
-                yield pa.RecordBatch.from_arrays([_signed(np.concatenate(g)), pa.array(np.concatenate(d)), pa.array(np.concatenate(n))], ["g", "d", "n"])
+                held += k
+                if held >= ROWS:
+                    yield out()
+                    g, d, n, held = [], [], [], 0
+        if g:
+            yield out()
 
     return docs.mapInArrow(run, "g long, d long, n int")
 
@@ -419,8 +436,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             th = batch.column(0).to_numpy()
             at = th % BITMAP
             hit = np.nonzero(wanted[at // 64] >> (at % 64).astype(np.uint64) & np.uint64(1))[0]
-            for lo in range(0, len(hit), 1000):
-                sets = [shingles(body, size) for body in batch.column(1).take(pa.array(hit[lo : lo + 1000])).to_pylist()]
+            for lo in range(0, len(hit), TEXTS):
+                sets = [shingles(body, size) for body in batch.column(1).take(pa.array(hit[lo : lo + TEXTS])).to_pylist()]
                 yield pa.RecordBatch.from_arrays([pa.array([digest(x)[0] for x in sets], pa.int64()), pa.array([order.sort(x).astype("<u8").tobytes() for x in sets], pa.binary())], ["d", "names"])
 
     sets = rows.select("th", "body").mapInArrow(ordered, "d long, names binary").join(open_, "d", "left_semi")
