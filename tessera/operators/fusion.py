@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import constants as C
 from ..functions import text as T
+from ..sources.scratch import cut
 from . import channels as CH
 from .index import Index
 
@@ -73,8 +74,8 @@ def apply_rerank(order: DataFrame, scores: DataFrame, must: DataFrame | None = N
         first = must.groupBy("query_id", "pos").agg(F.min("seq").alias("__m"))
         d = d.join(first, ["query_id", "pos"], "left").withColumn("__x", F.when((F.col("rank") >= window) & F.col("__m").isNotNull(), F.col("__m")))
         extra = F.count("__x").over(W.partitionBy(*KEYS))
-        cut = F.when(extra > 0, F.greatest(F.lit(2), F.lit(window) - extra)).otherwise(F.lit(window))
-        place = F.when(F.col("__r") < cut, F.lit(0)).when(F.col("__x").isNotNull(), F.lit(1)).otherwise(F.lit(2))
+        kept = F.when(extra > 0, F.greatest(F.lit(2), F.lit(window) - extra)).otherwise(F.lit(window))
+        place = F.when(F.col("__r") < kept, F.lit(0)).when(F.col("__x").isNotNull(), F.lit(1)).otherwise(F.lit(2))
         d = _rerank(d.withColumn("__p", place).withColumn("__in", F.col("__p") < 2), F.col("__p"), F.col("__x"), F.col("__r")).withColumn("__r", F.col("rank"))
     else:
         d = d.withColumn("__in", F.col("rank") < window)
@@ -163,8 +164,24 @@ def search(
     scorer turns (query_id, user_id, q, pos, content) of the rerank window into (query_id, pos, rs); without it the order of
     the channels stays. hop adds the second hop (C09) for aggregate questions. A query of an unknown user has no rows.
     """
+    q, found, order = first_round(queries, index, query_vectors)
+    must = None
+    if hop:
+        order, must = second_hop(q, order, found, query_vectors, index)
+        order, must = cut(order, "order"), cut(must, "must")
+    if scorer is not None:
+        head = render_rows(order.where(F.col("rank") < C.RERANK_WINDOW) if must is None else order, index).join(q.select("query_id", "q"), "query_id")
+        order = cut(apply_rerank(order, scorer(head), must), "order")
+    order = cut(add_neighbors(q, cut(insert_rules(q, order, index), "order"), index), "order")
+    packed = pack_budget(render_rows(order, index), q, budget)
+    return packed.select(*KEYS, "place", "id", "content", F.round("score", 6).alias("score"), "created_at")
+
+
+def first_round(queries: DataFrame, index: Index, query_vectors: DataFrame | None = None) -> tuple[DataFrame, dict[str, DataFrame | None], DataFrame]:
+    """Prepared queries, their channels and the fused order. The BM25 hits, the channels' union and the order are written, as
+    several later steps read each of them."""
     q = CH.prepare_queries(queries)
-    lexical = CH.bm25(q, index)
+    lexical = cut(CH.bm25(q, index), "bm25")
     found = {
         "bm25": lexical,
         "vector": CH.vector(q, query_vectors, index),
@@ -172,25 +189,18 @@ def search(
         "literal": CH.literal(q, index, lexical),
         "date": CH.date(q, index),
     }
-    order = both_first(rrf(q, union_channels(found)))
-    must = None
-    if hop:
-        order, must = second_hop(q, order, found, query_vectors, index)
-    if scorer is not None:
-        head = render_rows(order.where(F.col("rank") < C.RERANK_WINDOW) if must is None else order, index).join(q.select("query_id", "q"), "query_id")
-        order = apply_rerank(order, scorer(head), must)
-    order = add_neighbors(q, insert_rules(q, order, index), index)
-    packed = pack_budget(render_rows(order, index), q, budget)
-    return packed.select(*KEYS, "place", "id", "content", F.round("score", 6).alias("score"), "created_at")
+    hits = cut(union_channels(found), "hits")
+    found = {name: hits.where(F.col("channel") == name).drop("channel") for name, d in found.items() if d is not None}
+    return q, found, cut(both_first(rrf(q, hits)), "order")
 
 
 def second_hop(queries: DataFrame, order: DataFrame, found: dict[str, DataFrame | None], query_vectors: DataFrame | None, index: Index) -> tuple[DataFrame, DataFrame]:
     """The order after the second hop, and the new rows that must reach the rerank window."""
     q = queries.where("is_aggregate or intent = 'aggregate'")
-    anchors = CH.hop_anchors(order).join(q.select("query_id"), "query_id", "left_semi")
-    hops = {"bm25_hop": CH.bm25_hop(q, CH.hop_terms(q, anchors, index), index)}
+    anchors = cut(CH.hop_anchors(order).join(q.select("query_id"), "query_id", "left_semi"), "anchors")
+    hops = {"bm25_hop": cut(CH.bm25_hop(q, cut(CH.hop_terms(q, anchors, index), "terms"), index), "hop")}
     if query_vectors is not None and index.vectors is not None:
-        hops["vector_hop"] = CH.vector_hop(q, query_vectors, anchors, index)
+        hops["vector_hop"] = cut(CH.vector_hop(q, query_vectors, anchors, index), "hop")
     must = None
     for k, (name, d) in enumerate(hops.items()):
         new = d.where(F.col("rank") < C.HOP_RESERVE).join(order.select(*KEYS, "pos"), [*KEYS, "pos"], "left_anti")

@@ -15,6 +15,7 @@ from ..operators import evaluation as E
 from ..operators import fusion as FU
 from ..operators import index as I
 from ..operators import segments as G
+from ..sources.scratch import new_path
 from . import deco
 from . import sql as S
 
@@ -301,14 +302,10 @@ def g13_embed_dedup(spark, sf_dir):
 
 def _stored(spark, sf_dir, stream: bool):
     """Conversations as raw Add lines, through the store in a scratch folder of the shared directory."""
-    import tempfile
-    import uuid
-
     from ..sources.store import Store, add_lines
     from ..streaming.ingest import add_stream
 
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tessera-")
-    base = f"{base.rstrip('/')}/store-{uuid.uuid4().hex}"
+    base = new_path(spark, "store")
     m = deco.messages(spark, sf_dir)
     one = F.struct("idx", "role", "content", F.col("timestamp_ms").cast("long").alias("timestamp"))
     r = m.groupBy("user_id", "session_id", "request_id", "arrival").agg(F.array_sort(F.collect_list(one)).alias("messages"))
@@ -459,11 +456,7 @@ def i16_session_labels(spark, sf_dir):
 
 @query(f"with {S.BM25} select (select count(*) from rows_) as n_rows, (select count(*) from post) as n_postings, (select count(*) from terms) as n_terms")
 def i17_index_roundtrip(spark, sf_dir):
-    import tempfile
-    import uuid
-
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tessera-")
-    path = f"{base.rstrip('/')}/index-{uuid.uuid4().hex}"
+    path = new_path(spark, "index")
     deco.index(spark, sf_dir).write(path)
     back = I.Index.read(spark, path, vectors=False)
     count = lambda d, n: d.agg(F.count(F.lit(1)).alias(n))
@@ -586,10 +579,9 @@ hv as (select query_id, list_transform(list_zip(vector, c), lambda z: {C.HOP_QUE
 
 
 def _first_order(spark, sf_dir, index):
-    q, v = CH.prepare_queries(deco.queries(spark)), deco.query_vectors(spark, sf_dir)
-    lexical = CH.bm25(q, index)
-    found = {"bm25": lexical, "vector": CH.vector(q, v, index), "entity": CH.entity(q, index), "literal": CH.literal(q, index, lexical), "date": CH.date(q, index)}
-    return q, v, found, FU.both_first(FU.rrf(q, FU.union_channels(found)))
+    v = deco.query_vectors(spark, sf_dir)
+    q, found, order = FU.first_round(deco.queries(spark), index, v)
+    return q, v, found, order
 
 
 def _hop_inputs(spark, sf_dir):
@@ -633,10 +625,7 @@ def c09_second_hop(spark, sf_dir):
 
 @query(f"{_FUSED} select query_id, user_id, pos, round(score, 6) + 0.0 as score, (row_number() over (partition by query_id order by score desc, first) - 1)::int as rank from fused_f")
 def f01_rrf_fuse(spark, sf_dir):
-    idx = deco.index(spark, sf_dir, vectors=True)
-    q = CH.prepare_queries(deco.queries(spark))
-    lexical = CH.bm25(q, idx)
-    found = {"bm25": lexical, "vector": CH.vector(q, deco.query_vectors(spark, sf_dir), idx), "entity": CH.entity(q, idx), "literal": CH.literal(q, idx, lexical), "date": CH.date(q, idx)}
+    q, _, found, _ = _first_order(spark, sf_dir, deco.index(spark, sf_dir, vectors=True))
     return FU.rrf(q, FU.union_channels(found)).select("query_id", "user_id", "pos", (F.round("score", 6) + 0.0).alias("score"), "rank")
 
 

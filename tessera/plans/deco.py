@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..operators import coerce as P
 from ..operators import index as I
 from ..operators import segments as G
+from ..sources.scratch import cut, new_path
 
 SPEAKERS = ("Alice", "Bob", "Carol", "Maria")
 PEOPLE = ("Caroline", "Caro", "Melanie", "Mel", "Roberto", "Ann", "Annabella", "Joanne")
@@ -65,8 +66,18 @@ def segments_with_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.join(emb.select("vec_id", "embedding"), "vec_id", "left").drop("vec_id")
 
 
+_indexes: dict[tuple[str, str, bool], str] = {}
+
+
 def index(spark: SparkSession, sf_dir: str, vectors: bool = False) -> I.Index:
-    return I.build_index((segments_with_vectors if vectors else segments)(spark, sf_dir))
+    """The index of the decorated conversations, written once for each application and input and then read."""
+    key = (spark.sparkContext.applicationId, sf_dir, vectors)
+    if key not in _indexes:
+        path = new_path(spark, "index")
+        seg = cut((segments_with_vectors if vectors else segments)(spark, sf_dir), "segments")
+        I.build_index(seg).write(path)
+        _indexes[key] = path
+    return I.Index.read(spark, _indexes[key], vectors)
 
 
 def queries(spark: SparkSession) -> DataFrame:
