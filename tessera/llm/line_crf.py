@@ -254,10 +254,12 @@ def score_quality(docs: DataFrame, model: LineModel, id_col: str = "doc_id", tex
 
 
 def keep_good(docs: DataFrame, model: LineModel, text_col: str = "text") -> DataFrame:
-    """docs without the rows that the model rejects; all columns stay."""
+    """docs without the rows that the model rejects; all columns stay, whatever their names."""
+    at = docs.columns.index(text_col)
 
-    @F.pandas_udf("double")
-    def score(texts: "pd.Series") -> "pd.Series":  # noqa: F821
-        return texts.map(model.score)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            good = [model.score(t or "") >= 0.5 for t in batch.column(at).to_pylist()]
+            yield batch.filter(pa.array(good, pa.bool_()))
 
-    return docs.where(score(empty_if_null(text_col)) >= 0.5)
+    return docs.mapInArrow(run, docs.schema)
