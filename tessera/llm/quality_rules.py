@@ -122,7 +122,11 @@ def compiled(rules: tuple[Rule, ...] = RULES) -> Column:
 
 
 def quality_rules(docs: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """metrics() plus base_failed (fewer than 10 words, or over 20 % repeated words) and kept."""
+    """metrics() plus base_failed (fewer than 10 words, or over 20 % repeated words) and kept.
+
+    Write the result before filtering by its columns: the optimizer would copy the nested projections into the filter, and
+    planning then takes minutes.
+    """
     d = metrics(docs, text_col)
     d = d.withColumn("base_failed", (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words")))
     return d.withColumn("kept", ~F.col("base_failed") & compiled(rules))
