@@ -28,6 +28,8 @@ SHINGLE, PERCENT = 5, 75
 MAX_FREQUENT = 1 << 18
 #: The share of each ordered set, in per cent, that takes part in the shuffle; at least the prefix.
 PART = 35
+#: Of the names that two sets must share, one in so many is asked for in the pairs between components.
+LEAST = 20
 #: Bits in the bitmap of the texts whose sets are needed again, a fixed 8 MB; when it fills up, more sets than needed are made.
 BITMAP = 1 << 26
 #: Shingles counted at a time; one that a block holds once is not carried on (lossy counting).
@@ -99,12 +101,14 @@ def part_size(n: int, percent: int = PERCENT) -> int:
     return max(prefix_size(n, percent), -(-PART * n // 100))
 
 
-def _shared_at_least(n, m, percent: int):
-    """Names that the parts of two sets of n and m names share at least if the sets reach the threshold. All common names
-    up to the end of the part that ends first are in both parts; the others lie in the rest of that set."""
+def _wanted(n, m, percent: int):
+    """(reach_n, reach_m, least) for sets of n and m names: if they reach the threshold, they share at least `least` names
+    that lie before place reach_n of the one and reach_m of the other. Of their alpha common names the k-th has alpha - k
+    common ones behind it in both sets. A larger `least` asks more of a pair, but for longer parts."""
     alpha = -(-percent * (n + m) // (100 + percent))
-    rest = [x - np.maximum(x - -(-percent * x // 100) + 1, -(-PART * x // 100)) for x in (n, m)]
-    return np.maximum(1, alpha - np.maximum(*rest))
+    part = [np.maximum(x - -(-percent * x // 100) + 1, -(-PART * x // 100)) for x in (n, m)]
+    least = np.maximum(1, np.minimum(alpha // LEAST, np.minimum(part[0] - n, part[1] - m) + alpha))
+    return n - alpha + least, m - alpha + least, least
 
 
 class Order:
@@ -228,15 +232,15 @@ def _first_pass(docs: DataFrame, size: int) -> DataFrame:
 
 
 def _parts(docs: DataFrame, order: Order, size: int, percent: int) -> DataFrame:
-    """(g, d, n) for each name in the part of each distinct set of a task. g has 48 bits: names that fall together by chance
+    """(g, d, n, p) for each name in the part of each distinct set of a task, p its place from 0. g has 48 bits: names that fall together by chance
     only add work."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
-        g, d, n, held = [], [], [], 0
+        g, d, n, p, held = [], [], [], [], 0
 
         def out() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([_signed(np.concatenate(g)), pa.array(np.concatenate(d)), pa.array(np.concatenate(n))], ["g", "d", "n"])
+            return pa.RecordBatch.from_arrays([_signed(np.concatenate(g)), pa.array(np.concatenate(d)), pa.array(np.concatenate(n)), pa.array(np.concatenate(p))], ["g", "d", "n", "p"])
 
         for batch in batches:
             for body in _bodies(batch.column(2)):
@@ -248,14 +252,15 @@ def _parts(docs: DataFrame, order: Order, size: int, percent: int) -> DataFrame:
                 g.append(order.sort(names)[:k] >> np.uint64(16))
                 d.append(np.full(k, key, dtype=np.int64))
                 n.append(np.full(k, len(names), dtype=np.int32))
+                p.append(np.arange(k, dtype=np.int32))
                 held += k
                 if held >= ROWS:
                     yield out()
-                    g, d, n, held = [], [], [], 0
+                    g, d, n, p, held = [], [], [], [], 0
         if g:
             yield out()
 
-    return docs.mapInArrow(run, "g long, d long, n int")
+    return docs.mapInArrow(run, "g long, d long, n int, p int")
 
 
 def _runs(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[list[np.ndarray]]:
@@ -276,27 +281,27 @@ def _runs(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[list[np.nda
 
 
 def _meetings(parts: DataFrame, percent: int) -> DataFrame:
-    """(g, d, n, lead): the rows whose name another set of a fitting size has, too; lead is the smallest set of the run that
+    """(g, d, n, p, lead): the rows whose name another set of a fitting size has, too; lead is the smallest set of the run that
     is not too small for d."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for g, d, n in _runs(batches, 3):
+        for g, d, n, p in _runs(batches, 4):
             fresh = np.r_[True, (g[1:] != g[:-1]) | (d[1:] != d[:-1])]  # equal sets of several tasks
-            g, d, n = g[fresh], d[fresh], n[fresh].astype(np.int64)
+            g, d, n, p = g[fresh], d[fresh], n[fresh].astype(np.int64), p[fresh]
             fits = (g[1:] == g[:-1]) & (100 * n[:-1] >= percent * n[1:])  # sizes rise within a run
             keep = np.r_[False, fits] | np.r_[fits, False]
             if not keep.any():
                 continue
-            g, d, n = g[keep], d[keep], n[keep]
+            g, d, n, p = g[keep], d[keep], n[keep], p[keep]
             lead, at, last = [], 0, None
             for k, (name, m) in enumerate(zip(g.tolist(), n.tolist())):
                 if name != last or 100 * small < percent * m:
                     at, last, small = k, name, m
                 lead.append(at)
-            yield pa.RecordBatch.from_arrays([pa.array(g), pa.array(d), pa.array(n.astype(np.int32)), pa.array(d[lead])], ["g", "d", "n", "lead"])
+            yield pa.RecordBatch.from_arrays([pa.array(g), pa.array(d), pa.array(n.astype(np.int32)), pa.array(p), pa.array(d[lead])], ["g", "d", "n", "p", "lead"])
 
     rows = parts.repartition("g").sortWithinPartitions("g", "n", "d")
-    return rows.mapInArrow(run, "g long, d long, n int, lead long")
+    return rows.mapInArrow(run, "g long, d long, n int, p int, lead long")
 
 
 def _open_sets(meetings: DataFrame, percent: int) -> DataFrame:
@@ -349,10 +354,14 @@ def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _across(meetings: DataFrame, components: DataFrame, tested: DataFrame, percent: int) -> DataFrame:
-    """Pairs of sets of different components that share enough names of their parts and were not compared yet."""
+    """Pairs of sets of different components that share enough names at the rare ends of their orders and were not compared yet.
+    A name counts for a pair only where it comes early enough in both sets (_wanted), so a passage of many sets makes pairs only
+    of those that hold little else."""
     comp = components.select(F.col("node").alias("d"), "component")
     rows = meetings.join(comp, "d", "left").withColumn("component", F.coalesce("component", "d"))
-    rows = cut(rows.select("g", "d", "n", "component"), "met")
+    fewest = F.expr(f"({percent} * cast(n as long) + 99) div 100")  # names shared with a set of any fitting size
+    rows = rows.where(F.col("p") < F.col("n") - fewest + F.greatest(F.lit(1), F.floor(fewest / LEAST)))
+    rows = cut(rows.select("g", "d", "n", "component", "p"), "met")
     mixed = rows.groupBy("g").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("g")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -363,14 +372,16 @@ def _across(meetings: DataFrame, components: DataFrame, tested: DataFrame, perce
             pairs, c = np.unique(np.concatenate(held), axis=0, return_counts=True)
             return pa.RecordBatch.from_arrays([*(pa.array(pairs[:, k]) for k in range(4)), pa.array(c, pa.int64())], ["a", "b", "na", "nb", "c"])
 
-        for g, d, n, comp_ in _runs(batches, 4):
+        for g, d, n, comp_, p in _runs(batches, 5):
             start = np.r_[np.nonzero(np.r_[True, g[1:] != g[:-1]])[0], len(g)]
             for lo, hi in zip(start[:-1].tolist(), start[1:].tolist()):
-                ns, cs, ds = n[lo:hi].astype(np.int64), comp_[lo:hi], d[lo:hi]
+                ns, cs, ds, ps = n[lo:hi].astype(np.int64), comp_[lo:hi], d[lo:hi], p[lo:hi]
                 last = np.searchsorted(ns, ns * 100 // percent, side="right")  # sizes rise
                 for k in range(hi - lo - 1):
                     j = np.arange(k + 1, last[k])
                     j = j[cs[j] != cs[k]]
+                    reach, reaches, _ = _wanted(ns[k], ns[j], percent)
+                    j = j[(ps[k] < reach) & (ps[j] < reaches)]
                     if len(j):
                         held.append(np.stack([np.full(len(j), ds[k]), ds[j], np.full(len(j), ns[k]), ns[j]], axis=1))
                         count += len(j)
@@ -386,7 +397,7 @@ def _across(meetings: DataFrame, components: DataFrame, tested: DataFrame, perce
     def enough(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             a, b, na, nb, c = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(5))
-            keep = c >= _shared_at_least(na, nb, percent)
+            keep = c >= _wanted(na, nb, percent)[2]
             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)[keep]), pa.array(np.maximum(a, b)[keep])], ["a", "b"])
 
     found = found.mapInArrow(enough, "a long, b long")
