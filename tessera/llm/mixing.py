@@ -1,7 +1,7 @@
 """Mixing sources to target weights by Poisson replication.
 
 Each row gets a uniform number from a hash of seed and id, and the inverse Poisson distribution with its source's
-repetition rate turns it into a number of copies. Copies are exploded and dealt out in the order of a second hash, which
+repetition rate turns it into a number of copies (large rates: the sum of several such draws). Copies are exploded and dealt out in the order of a second hash, which
 is a global shuffle that any run repeats.
 """
 
@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 #: Bits taken from a digest: 13 hex digits fit a double exactly.
 _DIGITS, _SCALE = 13, float(16**13)
+#: The largest rate whose exp(-rate) a double holds with all its digits.
+MAX_RATE = 708
 
 
 def _uniform(*parts: Column) -> Column:
@@ -53,14 +55,22 @@ def _cdf(rate: Column) -> Column:
 
 
 def copies(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", weights: dict[str, float] | None = None, epochs: float = 1.0, seed: int = 0) -> DataFrame:
-    """docs with __rate and __n (Poisson count) added; rates must stay below about 600, where exp(-rate) is still exact.
+    """docs with __rate and __n (Poisson count) added. A rate above MAX_RATE is split evenly into as few parts below it as
+    can be, and the count is the sum of one draw for each part, by a hash of its own.
 
     Null ids hash as the word null, so such rows share one draw, as do rows that repeat an id.
     """
-    rates = source_rates(docs, source_col, weights, epochs).select(F.col("src").alias("__src"), F.col("rate").alias("__rate"), _cdf(F.col("rate")).alias("__cdf"))
+    parts = F.greatest(F.lit(1), F.ceil(F.col("rate") / MAX_RATE)).cast("int")
+    rates = source_rates(docs, source_col, weights, epochs).select(F.col("src").alias("__src"), F.col("rate").alias("__rate"), parts.alias("__parts"), _cdf(F.col("rate") / parts).alias("__cdf"))
+
+    def drawn(u: Column) -> Column:
+        return F.size(F.filter("__cdf", lambda c: u >= c))
+
     u = _uniform(F.lit(seed), F.lit("n"), F.col(id_col))
     joined = docs.withColumn("__src", F.coalesce(F.col(source_col).cast("string"), F.lit("null"))).withColumn("__u", u).join(rates, "__src")
-    return joined.withColumn("__n", F.when(F.col("__rate") > 0, F.size(F.filter("__cdf", lambda c: F.col("__u") >= c))).otherwise(F.lit(0))).drop("__cdf", "__u", "__src")
+    others = F.aggregate(F.sequence(F.lit(2), "__parts"), F.lit(0), lambda acc, k: acc + drawn(_uniform(F.lit(seed), F.concat(F.lit("n"), k.cast("string")), F.col(id_col))))
+    n = drawn(F.col("__u")) + F.when(F.col("__parts") > 1, others).otherwise(F.lit(0))
+    return joined.withColumn("__n", F.when(F.col("__rate") > 0, n).otherwise(F.lit(0))).drop("__cdf", "__parts", "__u", "__src")
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", weights: dict[str, float] | None = None, epochs: float = 1.0, seed: int = 0) -> DataFrame:

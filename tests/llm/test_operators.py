@@ -379,6 +379,21 @@ def test_mixing_inverts_poisson(spark):
         assert got == want
 
 
+@pytest.mark.parametrize("rate", [707.5, 1000, 5000])
+def test_mixing_large_rates(spark, rate):
+    docs = frame(spark, [(k, None, "a") for k in range(400)])
+    n = {r["doc_id"]: r["__n"] for r in mixing.copies(docs, epochs=float(rate)).collect()}
+    got = np.array([n[k] for k in range(400)])
+    assert abs(got.mean() - rate) < 5 * (rate / 400) ** 0.5 and 0.7 < got.var() / rate < 1.4
+    parts = -(-rate // mixing.MAX_RATE)
+    part = rate / parts
+    j = np.arange(1, int(part + 12 * part**0.5 + 30))
+    cdf = np.cumsum(np.exp(np.r_[-part, np.cumsum(np.log(part / j)) - part]))
+    for k in range(40):
+        u = [int(hashlib.md5(f"0:n{i if i > 1 else ''}:{k}".encode()).hexdigest()[:13], 16) / 16**13 for i in range(1, int(parts) + 1)]
+        assert n[k] == np.searchsorted(cdf, u, side="right").sum()
+
+
 # op9 ------------------------------------------------------------------------------------------------------------------
 
 
