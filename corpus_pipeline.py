@@ -32,8 +32,9 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents in windows of 4096 ids."""
-    return packing.pack(docs)
+    """Pieces of documents in windows of 4096 ids, in the order of the mixing; stages pass on the documents' columns only,
+    so copies are numbered and their shuffle keys made again."""
+    return packing.pack(mixing.number_copies(docs), order=[mixing.shuffle_key(), "doc_id", "__copy"])
 
 
 STAGES = [

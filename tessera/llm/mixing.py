@@ -7,9 +7,11 @@ is a global shuffle that any run repeats.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import raw
+
 #: Bits taken from a digest: 13 hex digits fit a double exactly.
 _DIGITS, _SCALE = 13, float(16**13)
 #: The largest rate whose exp(-rate) a double holds with all its digits.
@@ -73,11 +75,23 @@ def copies(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source",
     return joined.withColumn("__n", F.when(F.col("__rate") > 0, n).otherwise(F.lit(0))).drop("__cdf", "__parts", "__u", "__src")
 
 
+def shuffle_key(id_col: str = "doc_id", copy_col: str = "__copy", seed: int = 0) -> Column:
+    """The place of a copy in the global hash order."""
+    return F.md5(F.concat_ws(":", F.lit(str(seed)), F.lit("k"), F.coalesce(F.col(id_col).cast("string"), F.lit("null")), F.col(copy_col).cast("string")))
+
+
+def number_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """A mixed table whose __copy was dropped, with __copy again: rows equal in id and text count from 1. Which of them
+    has which number is left open. A window holds the copies of one document only."""
+    w = Window.partitionBy(id_col, F.xxhash64(raw(text_col))).orderBy(F.lit(0))
+    return docs.withColumn("__copy", F.row_number().over(w))
+
+
 def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", weights: dict[str, float] | None = None, epochs: float = 1.0, seed: int = 0) -> DataFrame:
     """The mixed table: every row as often as its Poisson count, in a global hash order; columns as in docs, then
     __copy (from 1) and __key (the shuffle key, ties broken by id and copy). An empty table stays empty."""
     out = copies(docs, id_col, source_col, weights, epochs, seed).where("__n > 0")
     out = out.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__n"))))
-    out = out.withColumn("__key", F.md5(F.concat_ws(":", F.lit(str(seed)), F.lit("k"), F.coalesce(F.col(id_col).cast("string"), F.lit("null")), F.col("__copy").cast("string"))))
+    out = out.withColumn("__key", shuffle_key(id_col, "__copy", seed))
     order = ["__key", F.col(id_col), "__copy"]
     return out.repartitionByRange(*order).sortWithinPartitions(*order).select(*docs.columns, "__rate", "__n", "__copy", "__key")

@@ -1,7 +1,7 @@
 """Order-preserving packing into fixed windows by dynamic programming.
 
-The token stream of the documents in id order is cut into windows. Cuts may fall after a document, after a sentence, or,
-where neither comes for a whole window, anywhere. The cost of a plan is its padding plus a penalty for each cut within
+The token stream of the documents, in id order or a given one, is cut into windows. Cuts may fall after a document, after
+a sentence, or, where neither comes for a whole window, anywhere. The cost of a plan is its padding plus a penalty for each cut within
 a document; a monotone queue finds the best previous cut of each cut in amortised constant time. Streams are planned in
 blocks of about a million ids, so memory is bounded by a block and the longest document.
 """
@@ -10,12 +10,12 @@ from __future__ import annotations
 
 import zlib
 from collections import deque
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import empty_if_null
@@ -78,12 +78,15 @@ def sentence_ids(tokens: dict[int, str]) -> np.ndarray:
     return np.array(sorted(i for i, s in tokens.items() if (t := s.removesuffix("</w>")) and not t.strip(".!?")), dtype=np.uint32)
 
 
-def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, window: int = WINDOW, end_id: int = END_ID, block_ids: int = BLOCK_IDS, carry: bool = False) -> DataFrame:
+def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, window: int = WINDOW, end_id: int = END_ID, block_ids: int = BLOCK_IDS, carry: bool = False, order: Sequence[str | Column] = ()) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset (and ids if carry is set).
 
     A null text is an empty one and still has its end id. Null ids sort first. Rows that repeat an id are documents of
     their own, each counting its ids from 0. An empty table gives an empty result. sequence_id is unique over the
     table and rises with the documents' ids; it is not dense. Other columns are not read.
+
+    With order, columns or expressions of docs, the stream has that order and sequence_id rises along it; ties are broken
+    by id and text.
     """
     path = tokenizer or default_path()
 
@@ -146,7 +149,10 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokeni
         if keys:
             yield flush()
 
-    rows = docs.select(F.col(id_col).alias("doc_id"), empty_if_null(text_col).alias("text"))
-    rows = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
+    by = {f"__order{k}": F.col(c) if isinstance(c, str) else c for k, c in enumerate(order)}
+    rows = docs.select(F.col(id_col).alias("doc_id"), empty_if_null(text_col).alias("text"), *[c.alias(k) for k, c in by.items()])
+    ties = ["doc_id", F.xxhash64("text")]
+    rows = rows.repartitionByRange(*by, *ties) if by else rows.repartitionByRange("doc_id")
+    rows = rows.sortWithinPartitions(*by, *ties).select("doc_id", "text")
     schema = f"doc_id {dict(rows.dtypes)['doc_id']}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + ", ids array<int>" * carry
     return rows.mapInArrow(run, schema)

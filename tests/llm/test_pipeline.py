@@ -4,7 +4,7 @@ import collections
 
 import corpus_pipeline
 import numpy as np
-from tessera.llm import line_crf, tokens
+from tessera.llm import line_crf, mixing, tokens
 
 SF = "/root/testdata/sf0.01"
 
@@ -49,3 +49,15 @@ def test_run_equals_stages(spark):
     assert out.columns[:7] == ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
     assert out.count() > 0
     assert corpus_pipeline.ORACLE_SQL is None and 4 <= len(corpus_pipeline.STAGES) <= 5
+
+
+def test_packing_follows_mixing(spark, tmp_path):
+    docs = spark.createDataFrame([(k, f"text {k} of a document .", "a" if k % 5 else None) for k in range(300)] + [(7, "another seven", "a"), (None, "no id", "a"), (None, "none too", "a")], "doc_id long, text string, source string")
+    mixed = mixing.mix(docs, epochs=3.0)
+    stages = dict(corpus_pipeline.STAGES)
+    want = [r["doc_id"] for r in mixed.collect()]
+    assert len(want) > 600 and max(collections.Counter(want).values()) > 3
+    spark.createDataFrame(mixed.select(*docs.columns).collect(), docs.schema).repartition(5).write.parquet(str(tmp_path / "mixed"))
+    got = stages["packing"](spark, spark.read.parquet(str(tmp_path / "mixed")), SF).collect()
+    got = sorted(got, key=lambda r: (r["sequence_id"], r["offset"]))
+    assert [r["doc_id"] for r in got if r["start"] == 0] == want
