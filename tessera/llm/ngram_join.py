@@ -415,16 +415,9 @@ def _bitmap(hashes: DataFrame) -> np.ndarray:
     return bits
 
 
-def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id.
-
-    Words are runs of characters other than ASCII white space, A-Z lower-cased. A document's set are its distinct
-    shingles of `size` words, or all its words as one where it has fewer. Documents link where 100 * intersection >=
-    percent * union; component_id is the smallest doc_id reachable by links. Null and empty texts and texts without words
-    have no set and link with nothing. Null ids are never the smallest; a component of null ids alone has a null
-    component_id. Rows that repeat an id or a text are documents of their own; equal sets link. An empty table gives an
-    empty result. Other columns are not read. Sets and shingles are compared by 64-bit names, classes of equal sets by 128.
-    """
+def _found(docs: DataFrame, id_col: str, text_col: str, size: int, percent: int) -> DataFrame:
+    """One row per document: doc_id, th (hash of its text), n_shingles, component_id as in jaccard_components(), and
+    component, a name of the component that is null only for documents without a set."""
     rows = docs.select(F.col(id_col).alias("doc_id"), raw(text_col).alias("body"))
     rows = rows.select("doc_id", F.xxhash64("body").alias("th"), "body")
     first = cut(_first_pass(rows, size), "sets")
@@ -462,14 +455,40 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     known = classes.select("d0", "d1", "least").join(nodes, "d0", "left").withColumn("component", F.coalesce("component", "d0"))
     known = cut(known, "classes")
     least = known.groupBy("component").agg(F.min("least").alias("component_id"))
-    named = known.join(least, "component").select(F.col("d0"), F.col("d1"), "component_id")
-    out = each.where("n > 0").join(named, ["d0", "d1"]).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
-    return out.unionByName(each.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
+    named = known.join(least, "component").select(F.col("d0"), F.col("d1"), "component_id", "component")
+    out = each.where("n > 0").join(named, ["d0", "d1"]).select("doc_id", "th", F.col("n").alias("n_shingles"), "component_id", "component")
+    return out.unionByName(each.where("n = 0").select("doc_id", "th", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(None).cast("long").alias("component")))
+
+
+def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """One row per document: doc_id, n_shingles, component_id.
+
+    Words are runs of characters other than ASCII white space, A-Z lower-cased. A document's set are its distinct
+    shingles of `size` words, or all its words as one where it has fewer. Documents link where 100 * intersection >=
+    percent * union; component_id is the smallest doc_id reachable by links. Null and empty texts and texts without words
+    have no set and link with nothing. Null ids are never the smallest; a component of null ids alone has a null
+    component_id. Rows that repeat an id or a text are documents of their own; equal sets link. An empty table gives an
+    empty result. Other columns are not read. Sets and shingles are compared by 64-bit names, classes of equal sets by 128.
+    """
+    return _found(docs, id_col, text_col, size, percent).select("doc_id", "n_shingles", "component_id")
 
 
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """docs with one document of each component, the one of the smallest id; all columns stay. Rows that repeat that id
-    are all kept if they are equal in id only by chance of the input; exact copies are another operator's work."""
-    found = jaccard_components(docs, id_col, text_col, size, percent).where("component_id is not null and not (doc_id <=> component_id)")
-    gone = found.select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, F.col(id_col) == F.col("__gone"), "left_anti").select(*docs.columns)
+    """docs with one row of each component: that of the smallest id, null ids last, and of the smallest hash of the text
+    among rows that repeat that id; all columns stay. Rows go by id and 64-bit hash of the text, so a row that repeats the
+    id of a dropped one stays if it is of another component. Rows equal in id and text are reduced to one, whichever values
+    their other columns have. Documents without a set all stay."""
+    found = _found(docs, id_col, text_col, size, percent).where("component is not null")
+    found = cut(found.groupBy("doc_id", "th").agg(F.min("component").alias("component"), F.count(F.lit(1)).alias("c")), "rows")
+    best = found.groupBy("component").agg(F.min(F.struct(F.isnull("doc_id").alias("unnamed"), "doc_id", "th")).alias("best"))
+    best = cut(best.select(F.col("best.doc_id").alias("__id"), F.col("best.th").alias("__th")), "best")
+
+    on = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("th") == F.col("__th"))
+    gone = cut(found.join(best, on, "left_anti").select(F.col("doc_id").alias("__id"), F.col("th").alias("__th")), "gone")
+    again = cut(found.where("c > 1").join(best, on, "left_semi").select(F.col("doc_id").alias("__id"), F.col("th").alias("__th")), "again")
+    same = F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__row_th") == F.col("__th"))
+    left = docs.withColumn("__row_th", F.xxhash64(raw(text_col))).join(gone, same, "left_anti")
+    if again.limit(1).count():
+        one = left.join(again, same, "left_semi").dropDuplicates([id_col, "__row_th"])
+        left = left.join(again, same, "left_anti").unionByName(one)
+    return left.select(*docs.columns)

@@ -453,6 +453,21 @@ def test_jaccard_empty_and_keep(spark, corpus):
     assert {r["doc_id"] for r in out.collect()} - {None} == set(want) - {None}
 
 
+def test_jaccard_keeps_one_row_of_each(spark):
+    r = random.Random(8)
+    a, b, c, d = (prose(r, 80, 10_000) for _ in range(4))
+    near = lambda t, k: f"{t} more{k}"
+    rows = [(3, a), (7, near(a, 1)), (7, b)]  # id 7 is a near copy of 3 and a text of its own
+    rows += [(None, near(c, k)) for k in range(5)] + [(None, b + " end")]  # null ids only; a null id beside id 7
+    rows += [(9, near(d, 1)), (9, near(d, 2)), (9, near(d, 2)), (12, d)]  # the smallest id repeats
+    rows += [(20, "alone here"), (20, "alone here"), (None, None), (None, ""), (21, "  ")]
+    got = [(x["doc_id"], x["text"]) for x in ngram_join.keep_one_of_each(frame(spark, rows)).collect()]
+    of = lambda t: [k for k, x in got if x and x.startswith(t)]
+    assert (of(a), of(b), of(c), of(d), of("alone")) == ([3], [7], [None], [9], [20])
+    assert len(got) == 8 and set(got) <= set(rows)
+    assert {(None, None), (None, ""), (21, "  ")} <= set(got)
+
+
 def test_trie_walk_equals_brute_force():
     r = np.random.default_rng(1)
     for _ in range(30):
