@@ -10,12 +10,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import raw
+from .common import cut, raw
 
 #: Bits taken from a digest: 13 hex digits fit a double exactly.
 _DIGITS, _SCALE = 13, float(16**13)
 #: The largest rate whose exp(-rate) a double holds with all its digits.
 MAX_RATE = 708
+#: Up to so many sources their rates go to every task, so that texts are not dealt out by source; a row has 9 KB at most.
+FEW_SOURCES = 1000
 
 
 def _uniform(*parts: Column) -> Column:
@@ -64,6 +66,9 @@ def copies(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source",
     """
     parts = F.greatest(F.lit(1), F.ceil(F.col("rate") / MAX_RATE)).cast("int")
     rates = source_rates(docs, source_col, weights, epochs).select(F.col("src").alias("__src"), F.col("rate").alias("__rate"), parts.alias("__parts"), _cdf(F.col("rate") / parts).alias("__cdf"))
+    rates = cut(rates, "rates")
+    if rates.limit(FEW_SOURCES + 1).count() <= FEW_SOURCES:
+        rates = F.broadcast(rates)
 
     def drawn(u: Column) -> Column:
         return F.size(F.filter("__cdf", lambda c: u >= c))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import exact_dedup, line_crf, mixing, ngram_join, packing, pii, quality_rules, suffix_dedup, token_store, url_gbt
-from .common import table
+from .common import cut, table
 
 
 def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,7 +40,8 @@ def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mixed = mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "source"))
+    """The whole documents are mixed and written in their global order; the columns that SQL has are returned of them."""
+    mixed = cut(mixing.mix(table(spark, sf_dir, "documents")), "mixed")
     return mixed.select("doc_id", "source", F.col("__n").alias("n_copies"), F.col("__copy").alias("copy"), F.col("__key").alias("shuffle_key"))
 
 

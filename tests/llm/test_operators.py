@@ -11,6 +11,7 @@ import numpy as np
 import pytest
 
 from tessera.llm import components, exact_dedup, gbt, line_crf, mixing, ngram_join, packing, pii, quality_rules, queries, suffix_dedup, token_store, tokens, url_gbt
+from tessera.llm.common import cut
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, h string, uid int, n_words string, kept string, names string"
 
@@ -394,6 +395,17 @@ def test_mixing_large_rates(spark, rate):
         assert n[k] == np.searchsorted(cdf, u, side="right").sum()
 
 
+def test_mixing_query_mixes_whole_documents(spark, sf_dir, monkeypatch):
+    written = []
+    monkeypatch.setattr(queries, "cut", lambda df, name: written.append(cut(df, name)) or written[-1])
+    got = queries.QUERIES["op8_mixing"](spark, sf_dir)
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    assert written[0].columns[: len(docs.columns)] == docs.columns
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    rows = written[0].collect()
+    assert len(rows) == got.count() > 0 and all(texts[r["doc_id"]] == r["text"] for r in rows)
+
+
 # op9 ------------------------------------------------------------------------------------------------------------------
 
 
