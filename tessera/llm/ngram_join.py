@@ -6,9 +6,11 @@ many, so a set that shares fewer names with all others together is settled by a
 Sets are compared through a trie of ordered sets: a probe walks it once, sets that begin alike share the partial overlap,
 and a subtree is left as soon as what remains cannot reach the threshold.
 
-A group of thousands of near copies would meet in all pairs. So each set is first compared with one that it often meets
-(stars), components are formed, and only then are sets of different components that still meet often enough compared in
-pairs. Pairs within a component can change nothing and are never made; no pair between components is left out.
+A group of thousands of near copies would meet in all pairs, so pairs of sets are never made. First each set is compared
+with one hub that it often meets, a set of few names of its own (stars), and components are formed. Then sets of one
+component and about one size form units, and units of different components that still meet often enough are compared: the
+larger unit's sets are one trie, the smaller's sets walk it, and a walk ends at its first link, as one link joins two
+components. No pair of units is left out unless a count shows that it holds no link.
 """
 
 from __future__ import annotations
@@ -28,13 +30,17 @@ SHINGLE, PERCENT = 5, 75
 MAX_FREQUENT = 1 << 18
 #: The share of each ordered set, in per cent, that takes part in the shuffle; at least the prefix.
 PART = 35
-#: Of the names that two sets must share, one in so many is asked for in the pairs between components.
+#: Of the names that two sets must share, one in so many is asked for between units.
 LEAST = 20
+#: Sizes of a unit's sets differ by this factor at most.
+BAND = 1.05
+#: Names that a unit's sets hold together, about, and a group of probes, too: 4 MB a trie.
+UNIT_NAMES = 1 << 19
 #: Bits in the bitmap of the texts whose sets are needed again, a fixed 8 MB; when it fills up, more sets than needed are made.
 BITMAP = 1 << 26
 #: Shingles counted at a time; one that a block holds once is not carried on (lossy counting).
 BLOCK = 1 << 20
-#: Sets that one task compares with one probe before the rest go to another.
+#: Sets that one task compares with one hub before the rest go to another.
 PROBED = 1000
 
 _rng = np.random.default_rng(3)
@@ -101,14 +107,15 @@ def part_size(n: int, percent: int = PERCENT) -> int:
     return max(prefix_size(n, percent), -(-PART * n // 100))
 
 
-def _wanted(n, m, percent: int):
-    """(reach_n, reach_m, least) for sets of n and m names: if they reach the threshold, they share at least `least` names
-    that lie before place reach_n of the one and reach_m of the other. Of their alpha common names the k-th has alpha - k
-    common ones behind it in both sets. A larger `least` asks more of a pair, but for longer parts."""
-    alpha = -(-percent * (n + m) // (100 + percent))
-    part = [np.maximum(x - -(-percent * x // 100) + 1, -(-PART * x // 100)) for x in (n, m)]
-    least = np.maximum(1, np.minimum(alpha // LEAST, np.minimum(part[0] - n, part[1] - m) + alpha))
-    return n - alpha + least, m - alpha + least, least
+def _reach(lo, hi, lo2, hi2, percent: int):
+    """(reach, reach2, least) for two sets of lo to hi and of lo2 to hi2 names: if they reach the threshold, they share at
+    least `least` names that lie before place reach of the one and reach2 of the other. Of their alpha common names the
+    k-th has alpha - k common ones behind it in both sets. A larger `least` asks more of a pair, but for longer parts."""
+    alpha = lambda n, m: -(-percent * (n + m) // (100 + percent))  # noqa: E731  rises by less than 1 a name
+    behind = [x - np.maximum(x - -(-percent * x // 100) + 1, -(-PART * x // 100)) for x in (hi, hi2)]  # names outside the part, rising with x
+    few = alpha(lo, lo2)
+    least = np.maximum(1, np.minimum(few // LEAST, few - np.maximum(*behind)))
+    return hi - alpha(hi, lo2) + least, hi2 - alpha(lo, hi2) + least, least
 
 
 class Order:
@@ -281,31 +288,54 @@ def _runs(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[list[np.nda
 
 
 def _meetings(parts: DataFrame, percent: int) -> DataFrame:
-    """(g, d, n, p, lead): the rows whose name another set of a fitting size has, too; lead is the smallest set of the run that
-    is not too small for d."""
+    """(g, d, n, p): the rows whose name another set of a fitting size has, too. A run of one name is never held whole."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for g, d, n, p in _runs(batches, 4):
-            fresh = np.r_[True, (g[1:] != g[:-1]) | (d[1:] != d[:-1])]  # equal sets of several tasks
-            g, d, n, p = g[fresh], d[fresh], n[fresh].astype(np.int64), p[fresh]
-            fits = (g[1:] == g[:-1]) & (100 * n[:-1] >= percent * n[1:])  # sizes rise within a run
-            keep = np.r_[False, fits] | np.r_[fits, False]
-            if not keep.any():
+        rest = None  # the last row decided and those behind it
+        known = 0
+        for batch in batches:
+            if not len(batch):
                 continue
-            g, d, n, p = g[keep], d[keep], n[keep], p[keep]
-            lead, at, last = [], 0, None
-            for k, (name, m) in enumerate(zip(g.tolist(), n.tolist())):
-                if name != last or 100 * small < percent * m:
-                    at, last, small = k, name, m
-                lead.append(at)
-            yield pa.RecordBatch.from_arrays([pa.array(g), pa.array(d), pa.array(n.astype(np.int32)), pa.array(p), pa.array(d[lead])], ["g", "d", "n", "p", "lead"])
+            now = [batch.column(k).to_numpy() for k in range(4)]
+            rows = [np.r_[a, b] for a, b in zip(rest, now)] if rest else now
+            g, d = rows[0], rows[1]
+            fresh = np.r_[True, (g[1:] != g[:-1]) | (d[1:] != d[:-1])]  # equal sets of several tasks
+            rows = [c[fresh] for c in rows]
+            keep = fitting(rows)
+            keep[:known] = keep[-1] = False  # the last row's next one is not known yet
+            if keep.any():
+                yield pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in rows], ["g", "d", "n", "p"])
+            known = min(1, len(keep) - 1)
+            rest = [c[-1 - known :] for c in rows]
+        if rest:
+            keep = fitting(rest)
+            keep[:-1] = False
+            if keep.any():
+                yield pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in rest], ["g", "d", "n", "p"])
+
+    def fitting(rows: list[np.ndarray]) -> np.ndarray:
+        g, n = rows[0], rows[2].astype(np.int64)
+        fits = (g[1:] == g[:-1]) & (100 * n[:-1] >= percent * n[1:])  # sizes rise within a run
+        return np.r_[False, fits] | np.r_[fits, False]
 
     rows = parts.repartition("g").sortWithinPartitions("g", "n", "d")
-    return rows.mapInArrow(run, "g long, d long, n int, p int, lead long")
+    return rows.mapInArrow(run, "g long, d long, n int, p int")
+
+
+def _stars(meetings: DataFrame) -> DataFrame:
+    """(a, b): each open set b with the hub a that it meets most often. The hub of a name and size is the set that has the
+    largest share of its names in common with others, as a text does whose copies were changed at places of their own."""
+    band = F.floor(F.log(F.col("n").cast("double")) / F.lit(float(np.log(4 / 3)))).cast("int")
+    rows = meetings.withColumn("band", band)
+    hubs = rows.groupBy("g", "band").agg(F.max(F.struct("score", "d")).alias("top"), F.count(F.lit(1)).alias("k")).where("k > 1")
+    met = rows.join(hubs.select("g", "band", F.col("top.d").alias("lead")), ["g", "band"]).where("lead <> d")
+    met = met.groupBy("d", "lead").agg(F.count(F.lit(1)).alias("c"))
+    return met.groupBy(F.col("d").alias("b")).agg(F.max_by("lead", F.struct("c", "lead")).alias("a")).select("a", "b")
 
 
 def _open_sets(meetings: DataFrame, percent: int) -> DataFrame:
-    """(d): the sets that meet others often enough for a link to be possible at all."""
+    """(d, score): the sets that meet others often enough for a link to be possible at all, and the share of their part that
+    meets."""
     n = F.col("n").cast("long")
     up = lambda a, b: F.expr(f"(({a}) + {b} - 1) div {b}")
     counts = meetings.groupBy("d", "n").agg(F.count(F.lit(1)).alias("c"))
@@ -316,7 +346,7 @@ def _open_sets(meetings: DataFrame, percent: int) -> DataFrame:
         alpha = up(f"{percent} * (n + {m})", 100 + percent)
         value = alpha - F.greatest(F.col("n") - part("n"), F.col(m) - part(m))
         least = value if least is None else F.least(least, value)
-    return counts.where(F.col("c") >= least - 2).select("d")  # 2: between the ends, rounding may take one or two off
+    return counts.where(F.col("c") >= least - 2).select("d", (F.col("c") / part("n")).alias("score"))  # 2: between the ends, rounding may take one or two off
 
 
 def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -353,56 +383,101 @@ def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return rows.mapInArrow(run, "a long, b long")
 
 
-def _across(meetings: DataFrame, components: DataFrame, tested: DataFrame, percent: int) -> DataFrame:
-    """Pairs of sets of different components that share enough names at the rare ends of their orders and were not compared yet.
-    A name counts for a pair only where it comes early enough in both sets (_wanted), so a passage of many sets makes pairs only
-    of those that hold little else."""
-    comp = components.select(F.col("node").alias("d"), "component")
-    rows = meetings.join(comp, "d", "left").withColumn("component", F.coalesce("component", "d"))
+def _units(meetings: DataFrame, components: DataFrame) -> DataFrame:
+    """(d, component, u, size): the unit of each open set. A unit has sets of one component and about one size, and few
+    enough of them for one trie; size is the number of names that it holds."""
+    members = meetings.groupBy("d").agg(F.first("n").cast("long").alias("n"))
+    members = members.join(components.select(F.col("node").alias("d"), "component"), "d", "left").withColumn("component", F.coalesce("component", "d"))
+    band = F.floor(F.log(F.col("n").cast("double")) / F.lit(float(np.log(BAND)))).cast("int")
+    members = cut(members.withColumn("band", band), "members")
+    parts = members.groupBy("component", "band").agg(F.ceil(F.sum("n") / F.lit(UNIT_NAMES)).cast("int").alias("parts"), F.sum("n").alias("size"))
+    unit = F.xxhash64("component", "band", F.pmod(F.hash("d"), "parts"))
+    return members.join(parts, ["component", "band"]).select("d", "component", unit.alias("u"), F.floor(F.col("size") / F.col("parts")).alias("size"))
+
+
+def _unit_pairs(meetings: DataFrame, units: DataFrame, percent: int) -> DataFrame:
+    """(a, b): units of different components that share enough names at the rare ends of their orders. A name counts for a
+    pair only where it comes early enough in both (_reach), so a passage of many sets makes pairs only of those that hold
+    little else. Within a name a unit is one row, however many sets it has there."""
     fewest = F.expr(f"({percent} * cast(n as long) + 99) div 100")  # names shared with a set of any fitting size
-    rows = rows.where(F.col("p") < F.col("n") - fewest + F.greatest(F.lit(1), F.floor(fewest / LEAST)))
-    rows = cut(rows.select("g", "d", "n", "component", "p"), "met")
-    mixed = rows.groupBy("g").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("g")
+    rows = meetings.where(F.col("p") < F.col("n") - fewest + F.greatest(F.lit(1), F.floor(fewest / LEAST)))
+    rows = rows.select("g", "d", F.col("n").cast("long").alias("n"), F.col("p").cast("long").alias("p")).join(units, "d")
+    rows = rows.groupBy("g", "u", "component").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.min("p").alias("p"), F.first("size").alias("size"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
         count = 0
 
         def counted() -> pa.RecordBatch:
-            pairs, c = np.unique(np.concatenate(held), axis=0, return_counts=True)
-            return pa.RecordBatch.from_arrays([*(pa.array(pairs[:, k]) for k in range(4)), pa.array(c, pa.int64())], ["a", "b", "na", "nb", "c"])
-
-        for g, d, n, comp_, p in _runs(batches, 5):
+            rows = np.concatenate(held)
+            order = np.lexsort((rows[:, 1], rows[:, 0]))
+            rows = rows[order]
+            start = np.nonzero(np.r_[True, (rows[1:, :2] != rows[:-1, :2]).any(axis=1)])[0]
+            c = np.diff(np.r_[start, len(rows)])
+            return pa.RecordBatch.from_arrays([pa.array(rows[start, 0]), pa.array(rows[start, 1]), pa.array(np.minimum.reduceat(rows[:, 2], start)), pa.array(c.astype(np.int64))], ["a", "b", "least", "c"])
+
+        for g, lo, hi, u, comp, p, size in _runs(batches, 7):
             start = np.r_[np.nonzero(np.r_[True, g[1:] != g[:-1]])[0], len(g)]
-            for lo, hi in zip(start[:-1].tolist(), start[1:].tolist()):
-                ns, cs, ds, ps = n[lo:hi].astype(np.int64), comp_[lo:hi], d[lo:hi], p[lo:hi]
-                last = np.searchsorted(ns, ns * 100 // percent, side="right")  # sizes rise
-                for k in range(hi - lo - 1):
-                    j = np.arange(k + 1, last[k])
-                    j = j[cs[j] != cs[k]]
-                    reach, reaches, _ = _wanted(ns[k], ns[j], percent)
-                    j = j[(ps[k] < reach) & (ps[j] < reaches)]
+            for x, y in zip(start[:-1].tolist(), start[1:].tolist()):
+                if y - x < 2:
+                    continue
+                names, c = np.unique(comp[x:y], return_counts=True)
+                if len(names) < 2:
+                    continue
+                few = np.r_[np.nonzero(comp[x:y] != names[c.argmax()])[0]] + x  # pairs within the largest component are not wanted
+                for k in few.tolist():
+                    j = np.arange(x, y)
+                    j = j[(comp[j] != comp[k]) & ((comp[j] == names[c.argmax()]) | (j > k)) & (100 * lo[j] <= 100 * 100 * hi[k] // percent) & (100 * lo[k] <= 100 * 100 * hi[j] // percent)]
+                    reach, reaches, least = _reach(lo[k], hi[k], lo[j], hi[j], percent)
+                    ok = (p[k] < reach) & (p[j] < reaches)
+                    j, least = j[ok], least[ok]
                     if len(j):
-                        held.append(np.stack([np.full(len(j), ds[k]), ds[j], np.full(len(j), ns[k]), ns[j]], axis=1))
+                        mine = (size[j] < size[k]) | ((size[j] == size[k]) & (u[j] < u[k]))  # the larger unit is a
+                        held.append(np.stack([np.where(mine, u[k], u[j]), np.where(mine, u[j], u[k]), least], axis=1))
                         count += len(j)
-                if count >= BLOCK:
-                    yield counted()
-                    held, count = [], 0
+                    if count >= BLOCK:
+                        yield counted()
+                        held, count = [], 0
         if held:
             yield counted()
 
-    found = rows.join(mixed, "g", "left_semi").repartition("g").sortWithinPartitions("g", "n", "d").mapInArrow(run, "a long, b long, na long, nb long, c long")
-    found = found.groupBy("a", "b", "na", "nb").agg(F.sum("c").alias("c"))
+    found = rows.repartition("g").select("g", "lo", "hi", "u", "component", "p", "size").sortWithinPartitions("g", "lo", "u")
+    found = found.mapInArrow(run, "a long, b long, least long, c long")
+    return found.groupBy("a", "b").agg(F.sum("c").alias("c"), F.min("least").alias("least")).where("c >= least").select("a", "b")
+
 
-    def enough(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _joined(pairs: DataFrame, units: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """pairs of units (a, b) -> links (a, b) that join their components: one at most for each unit a and component of the
+    sets that meet it in a task. The sets of a form a trie and come first; those of its b walk it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, trie, held, done = None, None, [], set()
         for batch in batches:
-            a, b, na, nb, c = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(5))
-            keep = c >= _wanted(na, nb, percent)[2]
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)[keep]), pa.array(np.maximum(a, b)[keep])], ["a", "b"])
+            a, salt, kind, d, component = (batch.column(k).to_pylist() for k in range(5))
+            names = [np.frombuffer(x, dtype="<u8") for x in batch.column(5).to_pylist()]
+            out: list[tuple[int, int]] = []
+            for k in range(len(a)):
+                if key != (a[k], salt[k]):
+                    key, trie, held, done = (a[k], salt[k]), None, [], set()
+                if not kind[k]:
+                    held.append((d[k], names[k].copy()))
+                    continue
+                trie = trie or Trie([x for _, x in held])
+                if component[k] not in done and (hit := next(trie.walk(np.sort(names[k]), percent), None)) is not None:
+                    done.add(component[k])
+                    out.append((held[hit][0], d[k]))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], ["a", "b"])
 
-    found = found.mapInArrow(enough, "a long, b long")
-    done = tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    return found.join(done, ["a", "b"], "left_anti")
+    own = units.select(F.col("u").alias("a"), "d", "component")
+    probes = pairs.join(units.select(F.col("u").alias("b"), "d", "component", "size"), "b").select("a", "d", "component", "size")
+    probes = probes.join(sets.select("d", "names"), "d")
+    salts = probes.groupBy("a").agg(F.ceil(F.sum(F.octet_length("names")) / F.lit(8 * UNIT_NAMES)).cast("int").alias("parts"))
+    salts = cut(salts, "salts")
+    probes = probes.join(salts, "a").select("a", F.pmod(F.hash("d"), "parts").alias("salt"), F.lit(1).alias("kind"), "d", "component", "names")
+    tries = salts.join(own, "a").join(sets, "d").select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("salt"), F.lit(0).alias("kind"), "d", "component", "names")
+    rows = tries.unionByName(probes).repartition("a", "salt").sortWithinPartitions("a", "salt", "kind", "component", "d")
+    return rows.mapInArrow(run, "a long, b long")
 
 
 def _bitmap(hashes: DataFrame) -> np.ndarray:
@@ -429,10 +504,8 @@ def _found(docs: DataFrame, id_col: str, text_col: str, size: int, percent: int)
 
     meetings = cut(_meetings(_parts(rows, order, size, percent), percent), "meetings")
     open_ = cut(_open_sets(meetings, percent), "open")
-    meetings = cut(meetings.join(open_, "d", "left_semi"), "meetings")
-    stars = meetings.join(open_.withColumnRenamed("d", "lead"), "lead", "left_semi").where("lead <> d")
-    stars = stars.groupBy("d", "lead").agg(F.count(F.lit(1)).alias("c")).groupBy("d").agg(F.max_by("lead", F.struct("c", "lead")).alias("a"))
-    stars = cut(stars.select("a", F.col("d").alias("b")), "stars")
+    meetings = cut(meetings.join(open_, "d"), "meetings")
+    stars = cut(_stars(meetings), "stars")
     wanted = _bitmap(open_.select(F.col("d").alias("d0")).join(classes, "d0").select("th"))
 
     def ordered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -444,12 +517,13 @@ def _found(docs: DataFrame, id_col: str, text_col: str, size: int, percent: int)
                 sets = [shingles(body, size) for body in batch.column(1).take(pa.array(hit[lo : lo + TEXTS])).to_pylist()]
                 yield pa.RecordBatch.from_arrays([pa.array([digest(x)[0] for x in sets], pa.int64()), pa.array([order.sort(x).astype("<u8").tobytes() for x in sets], pa.binary())], ["d", "names"])
 
-    sets = rows.select("th", "body").mapInArrow(ordered, "d long, names binary").join(open_, "d", "left_semi")
+    sets = rows.select("th", "body").mapInArrow(ordered, "d long, names binary").join(open_.select("d"), "d", "left_semi")
     sets = cut(sets.dropDuplicates(["d"]), "ordered")
 
     links = cut(_linked(stars, sets, percent), "links")
-    across = cut(_across(meetings, connected_components(links), stars, percent), "across")
-    links = links.unionByName(_linked(across, sets, percent))
+    units = cut(_units(meetings, connected_components(links)), "units")
+    across = cut(_unit_pairs(meetings, units, percent), "across")
+    links = links.unionByName(_joined(across, units, sets, percent))
     nodes = connected_components(links).withColumnRenamed("node", "d0")
 
     known = classes.select("d0", "d1", "least").join(nodes, "d0", "left").withColumn("component", F.coalesce("component", "d0"))
