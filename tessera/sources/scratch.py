@@ -5,28 +5,44 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 
-_written: list[tuple[SparkSession, str]] = []
+_written: dict[str, SparkSession] = {}
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir. Only a local master, whose tasks run on this
+    machine, gets a folder of its own where that is unset; a cluster must name one."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        found = tempfile.mkdtemp(prefix="tessera-")
+        spark.conf.set("spark.checkpoint.dir", found)
+    return found.rstrip("/")
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    """A fresh path under spark.checkpoint.dir, or under a folder of our own where that is unset; removed at the end."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = tempfile.mkdtemp(prefix="tessera-")
-        spark.conf.set("spark.checkpoint.dir", base)
+    """A fresh path in the shared folder, removed when the driver ends."""
     if not _written:
         atexit.register(release)
-    path = f"{base.rstrip('/')}/tessera-scratch/{name}-{uuid.uuid4().hex}"
-    _written.append((spark, path))
+    path = f"{shared_dir(spark)}/tessera-scratch/{name}-{uuid.uuid4().hex}"
+    _written[path] = spark
     return path
 
 
-def release() -> None:
-    while _written:
-        spark, path = _written.pop()
+def written() -> set[str]:
+    """The paths given out and not released yet."""
+    return set(_written)
+
+
+def release(paths: Iterable[str] | None = None) -> None:
+    """Delete the tables at these paths, or all of them, as far as their session still lives."""
+    for path in list(_written if paths is None else paths):
+        spark = _written.pop(path, None)
         try:
             where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
             where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
