@@ -1,66 +1,56 @@
-"""Shared helpers: materialised cuts in the shared folder, table readers, clash-free column names."""
+"""Shared helpers: table readers, clash-free column names, row filters of fixed size."""
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.scratch import cut, new_path, release, written  # noqa: F401  for the operators of this subpackage
+
 #: Words are runs of characters other than ASCII white space.
 SPACES = " \t\n\x0b\x0c\r"
 
-_written: list[tuple[SparkSession, str]] = []
+#: Bits of a row filter, a fixed 8 MB.
+FILTER_BITS = 1 << 26
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or an own one where that is unset (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = tempfile.mkdtemp(prefix="tessera-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def new_path(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder, removed when the driver ends."""
-    if not _written:
-        atexit.register(release)
-    path = f"{shared_dir(spark)}/tessera/{name}-{uuid.uuid4().hex}"
-    _written.append((spark, path))
-    return path
+def empty_if_null(text: str | Column) -> Column:
+    return F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
 
 
-def release() -> None:
-    """Delete every table that cut() wrote and whose session still lives."""
-    while _written:
-        spark, path = _written.pop()
-        try:
-            jvm = spark.sparkContext._jvm
-            where = jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-        except Exception:  # the session may have gone; the folder is scratch space
-            pass
+def raw(text: str | Column) -> Column:
+    """UTF-8 bytes of a text; null counts as empty."""
+    return F.encode(empty_if_null(text), "UTF-8")
 
 
-def cut(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it back: lineage ends, any executor can reread it."""
-    spark = df.sparkSession
-    path = new_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def free_name(df: DataFrame, name: str) -> str:
+    """name, or name with underscores behind it that no column of df has (names differ in more than case)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+#: Bits of one bitmap of bitmap_construct_agg().
+_BITMAP = 1 << 15
 
 
-def empty_if_null(text: str | Column) -> Column:
-    return F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
+def row_filter(hashes: DataFrame) -> DataFrame:
+    """hashes (h long) -> (bucket, bits): bitmaps of FILTER_BITS bits in all, those of the hashes set. There are FILTER_BITS /
+    _BITMAP rows at most, whatever the number of hashes; with very many of them every row passes may_hold()."""
+    place = F.pmod(F.col("h"), F.lit(FILTER_BITS))
+    rows = hashes.select(F.floor(place / _BITMAP).cast("int").alias("bucket"), F.pmod(place, F.lit(_BITMAP)).alias("place"))
+    return rows.groupBy("bucket").agg(F.bitmap_construct_agg("place").alias("bits"))
 
 
-def raw(text: str | Column) -> Column:
-    """UTF-8 bytes of a text; null counts as empty."""
-    return F.encode(empty_if_null(text), "UTF-8")
+def may_hold(df: DataFrame, h: str, found: DataFrame, holds: bool = True) -> DataFrame:
+    """The rows of df whose hash h is in the filter, by chance or not; with holds=False those whose hash is surely not."""
+    bucket, bits = free_name(df, "bucket"), free_name(df, "bits")
+    place = F.pmod(F.col(h), F.lit(FILTER_BITS))
+    byte = F.conv(F.hex(F.substring(F.col(bits), (F.pmod(place, F.lit(_BITMAP)) / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    on = (F.floor(place / _BITMAP).cast("int") == F.col(bucket)) & (F.getbit(byte, F.pmod(place, F.lit(8)).cast("int")) == 1)
+    return df.join(F.broadcast(found.toDF(bucket, bits)), on, "left_semi" if holds else "left_anti")  # 8 MB at most

@@ -2,8 +2,9 @@
 
 A text is cut into fixed-size byte blocks. Distinct blocks are sorted, and a block's place in that order is its
 integer name. Adjacent names are paired, distinct pairs are sorted and named in turn, until every text has a single
-name. Equal (level, name) means equal bytes: no hash decides equality. Texts whose length and 64-bit fingerprint
-occur once cannot have an equal, so they are settled beforehand and never enter the naming.
+name. Equal (level, name) means equal bytes: no hash decides equality. Texts whose 64-bit fingerprint occurs once
+cannot have an equal. A filter of fixed size holds the others' fingerprints; texts that it lacks have no equal and never
+enter the naming, so only texts with copies, and a few that meet the filter by chance, are shuffled.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, raw
+from .common import cut, free_name, may_hold, raw, row_filter
 
 BLOCK_BYTES = 16_384
 
@@ -60,43 +61,52 @@ def text_names(texts: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
         level += 1
 
 
+def _twins(docs: DataFrame, id_col: str, text_col: str, block_bytes: int) -> tuple[DataFrame, DataFrame]:
+    """(filter, met): the filter of the fingerprints that occur twice, and for each row that meets it doc_id, keep_id,
+    group_size, kept, h, text_sha256."""
+    rows = docs.select(F.col(id_col).alias("doc_id"), raw(text_col).alias("body")).withColumn("h", F.xxhash64("body"))
+    shared = rows.groupBy("h").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("h")
+    found = cut(row_filter(shared), "filter")
+    sha = F.sha2("body", 256).alias("text_sha256")
+    twins = cut(may_hold(rows, "h", found).select(F.monotonically_increasing_id().alias("uid"), "doc_id", "body", "h", sha), "twins")
+    named = cut(text_names(twins.select("uid", "body"), block_bytes).join(twins.select("uid", "doc_id", "h", "text_sha256"), "uid"), "named")
+    groups = named.groupBy("level", "name").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"), F.max(F.struct("doc_id", "uid")).alias("best"))
+    groups = cut(groups, "groups")  # the join then has exchanges of its own, which adaptive execution can split at hot names
+    met = named.join(groups, ["level", "name"])
+    return found, met.select("doc_id", "keep_id", "group_size", (F.col("uid") == F.col("best.uid")).alias("kept"), "h", "text_sha256")
+
+
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """One row per input row: doc_id, keep_id, group_size, kept, text_sha256.
 
     Of equal texts the row with the largest id stays. Null texts count as empty and are equal to empty ones. Null ids
     rank below all others; where every id of a group is null, keep_id is null. Rows that repeat an id within a group
     tie: exactly one of them is kept. An empty table gives an empty result. Other columns are not read, so their
-    names cannot clash.
+    names cannot clash. Rows whose fingerprint the filter lacks have no block names: each is a group of its own.
     """
-    rows = docs.select(F.col(id_col).alias("doc_id"), raw(text_col).alias("body"))
-    rows = rows.withColumn("h", F.xxhash64("body")).withColumn("n", F.octet_length("body"))
-    shared = cut(rows.groupBy("h", "n").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("h", "n"), "shared")
-    sha = F.sha2("body", 256).alias("text_sha256")
-
-    alone = rows.select("doc_id", "h", "n", sha).join(shared, ["h", "n"], "left_anti")
+    found, met = _twins(docs, id_col, text_col, block_bytes)
+    rows = docs.select(F.col(id_col).alias("doc_id"), raw(text_col).alias("body")).withColumn("h", F.xxhash64("body"))
+    alone = may_hold(rows.select("doc_id", "h", F.sha2("body", 256).alias("text_sha256")), "h", found, False)
     alone = alone.select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "text_sha256")
-
-    twins = cut(rows.join(shared, ["h", "n"], "left_semi").select(F.monotonically_increasing_id().alias("uid"), "doc_id", "body", sha), "twins")
-    named = cut(text_names(twins.select("uid", "body"), block_bytes).join(twins.select("uid", "doc_id", "text_sha256"), "uid"), "named")
-    groups = named.groupBy("level", "name").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"), F.max(F.struct("doc_id", "uid")).alias("best"))
-    groups = cut(groups, "groups")  # the join then has exchanges of its own, which adaptive execution can split at hot names
-    met = named.join(groups, ["level", "name"]).select("doc_id", "keep_id", "group_size", (F.col("uid") == F.col("best.uid")).alias("kept"), "text_sha256")
-    return alone.unionByName(met)
+    return alone.unionByName(met.drop("h"))
 
 
 def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """docs without the rows that exact_dedup() drops; all columns stay as they are.
+    """docs without the rows that exact_dedup() drops; all columns stay as they are, whatever their names.
 
-    Rows that repeat both id and text cannot be told apart by the result, so they are reduced to one row here, whichever
-    values their other columns have (the first in the order of all orderable columns is not defined further).
+    Rows that repeat both id and text cannot be told apart by the result, so one of them is left here, with the values
+    that any one of them has in each further column (which, is not defined). Only rows that may have to go are shuffled.
     """
-    found = exact_dedup(docs, id_col, text_col, block_bytes).where("not kept").select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha"), F.col("keep_id").alias("__keep"))
-    gone = cut(found.distinct(), "gone")
-    keyed = docs.withColumn("__sha", F.sha2(raw(text_col), 256)).withColumn("__id", F.col(id_col))
-    losers = gone.where("not (__id <=> __keep)").select(F.col("__id").alias("__l_id"), F.col("__sha").alias("__l_sha"))
-    on = F.col("__id").eqNullSafe(F.col("__l_id")) & (F.col("__sha") == F.col("__l_sha"))
-    left = keyed.join(losers, on, "left_anti")
-    again = gone.where("__id <=> __keep").select(F.col("__id").alias("__l_id"), F.col("__sha").alias("__l_sha"))
-    plain = left.join(again, on, "left_anti")
-    repeated = left.join(again, on, "left_semi").dropDuplicates(["__id", "__sha"])
-    return plain.unionByName(repeated).select(*docs.columns)
+    _, met = _twins(docs, id_col, text_col, block_bytes)
+    l_id, l_sha, l_again = (free_name(docs, c) for c in ("loser_id", "loser_sha", "loser_again"))
+    again = F.col("doc_id").eqNullSafe(F.col("keep_id"))
+    gone = met.where("not kept").select(F.col("doc_id").alias(l_id), F.col("text_sha256").alias(l_sha), again.alias(l_again), "h").distinct()
+    gone = cut(gone, "gone")
+    h, sha = free_name(docs, "body_hash"), free_name(docs, "body_sha")
+    keyed = docs.withColumn(h, F.xxhash64(raw(text_col)))
+    found = cut(row_filter(gone.select("h")), "filter")
+    near = may_hold(keyed, h, found).withColumn(sha, F.sha2(raw(text_col), 256))
+    near = near.join(gone.drop("h"), F.col(id_col).eqNullSafe(F.col(l_id)) & (F.col(sha) == F.col(l_sha)), "left")
+    plain = near.where(F.col(l_again).isNull()).select(*docs.columns)
+    repeated = near.where(l_again).dropDuplicates([id_col, sha]).select(*docs.columns)
+    return may_hold(keyed, h, found, False).select(*docs.columns).unionByName(plain).unionByName(repeated)

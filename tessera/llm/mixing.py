@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, raw
+from .common import cut, free_name, raw
 
 #: Bits taken from a digest: 13 hex digits fit a double exactly.
 _DIGITS, _SCALE = 13, float(16**13)
@@ -60,24 +60,27 @@ def _cdf(rate: Column) -> Column:
 
 def copies(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", weights: dict[str, float] | None = None, epochs: float = 1.0, seed: int = 0) -> DataFrame:
     """docs with __rate and __n (Poisson count) added. A rate above MAX_RATE is split evenly into as few parts below it as
-    can be, and the count is the sum of one draw for each part, by a hash of its own.
+    can be, and the count is the sum of one draw for each part, by a hash of its own. Where docs has such a column, it
+    stays and the added one has underscores behind its name.
 
     Null ids hash as the word null, so such rows share one draw, as do rows that repeat an id.
     """
+    rate, n_copies = free_name(docs, "__rate"), free_name(docs, "__n")
+    src, cdf, parts_, u_ = (free_name(docs, c) for c in ("__src", "__cdf", "__parts", "__u"))
     parts = F.greatest(F.lit(1), F.ceil(F.col("rate") / MAX_RATE)).cast("int")
-    rates = source_rates(docs, source_col, weights, epochs).select(F.col("src").alias("__src"), F.col("rate").alias("__rate"), parts.alias("__parts"), _cdf(F.col("rate") / parts).alias("__cdf"))
+    rates = source_rates(docs, source_col, weights, epochs).select(F.col("src").alias(src), F.col("rate").alias(rate), parts.alias(parts_), _cdf(F.col("rate") / parts).alias(cdf))
     rates = cut(rates, "rates")
     if rates.limit(FEW_SOURCES + 1).count() <= FEW_SOURCES:
         rates = F.broadcast(rates)
 
     def drawn(u: Column) -> Column:
-        return F.size(F.filter("__cdf", lambda c: u >= c))
+        return F.size(F.filter(cdf, lambda c: u >= c))
 
     u = _uniform(F.lit(seed), F.lit("n"), F.col(id_col))
-    joined = docs.withColumn("__src", F.coalesce(F.col(source_col).cast("string"), F.lit("null"))).withColumn("__u", u).join(rates, "__src")
-    others = F.aggregate(F.sequence(F.lit(2), "__parts"), F.lit(0), lambda acc, k: acc + drawn(_uniform(F.lit(seed), F.concat(F.lit("n"), k.cast("string")), F.col(id_col))))
-    n = drawn(F.col("__u")) + F.when(F.col("__parts") > 1, others).otherwise(F.lit(0))
-    return joined.withColumn("__n", F.when(F.col("__rate") > 0, n).otherwise(F.lit(0))).drop("__cdf", "__parts", "__u", "__src")
+    joined = docs.withColumn(src, F.coalesce(F.col(source_col).cast("string"), F.lit("null"))).withColumn(u_, u).join(rates, src)
+    others = F.aggregate(F.sequence(F.lit(2), parts_), F.lit(0), lambda acc, k: acc + drawn(_uniform(F.lit(seed), F.concat(F.lit("n"), k.cast("string")), F.col(id_col))))
+    n = drawn(F.col(u_)) + F.when(F.col(parts_) > 1, others).otherwise(F.lit(0))
+    return joined.withColumn(n_copies, F.when(F.col(rate) > 0, n).otherwise(F.lit(0))).select(*docs.columns, rate, n_copies)
 
 
 def shuffle_key(id_col: str = "doc_id", copy_col: str = "__copy", seed: int = 0) -> Column:
@@ -85,18 +88,21 @@ def shuffle_key(id_col: str = "doc_id", copy_col: str = "__copy", seed: int = 0)
     return F.md5(F.concat_ws(":", F.lit(str(seed)), F.lit("k"), F.coalesce(F.col(id_col).cast("string"), F.lit("null")), F.col(copy_col).cast("string")))
 
 
-def number_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """A mixed table whose __copy was dropped, with __copy again: rows equal in id and text count from 1. Which of them
-    has which number is left open. A window holds the copies of one document only."""
+def number_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", name: str = "__copy") -> DataFrame:
+    """A mixed table whose __copy was dropped, with it again as column `name`: rows equal in id and text count from 1. Which
+    of them has which number is left open. A window holds the copies of one document only."""
     w = Window.partitionBy(id_col, F.xxhash64(raw(text_col))).orderBy(F.lit(0))
-    return docs.withColumn("__copy", F.row_number().over(w))
+    return docs.withColumn(name, F.row_number().over(w))
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", weights: dict[str, float] | None = None, epochs: float = 1.0, seed: int = 0) -> DataFrame:
     """The mixed table: every row as often as its Poisson count, in a global hash order; columns as in docs, then
-    __copy (from 1) and __key (the shuffle key, ties broken by id and copy). An empty table stays empty."""
-    out = copies(docs, id_col, source_col, weights, epochs, seed).where("__n > 0")
-    out = out.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__n"))))
-    out = out.withColumn("__key", shuffle_key(id_col, "__copy", seed))
-    order = ["__key", F.col(id_col), "__copy"]
-    return out.repartitionByRange(*order).sortWithinPartitions(*order).select(*docs.columns, "__rate", "__n", "__copy", "__key")
+    __rate, __n, __copy (from 1) and __key (the shuffle key, ties broken by id and copy), the last four with underscores
+    behind their names where docs has such columns. An empty table stays empty."""
+    out = copies(docs, id_col, source_col, weights, epochs, seed)
+    rate, n = out.columns[-2:]
+    copy, key = free_name(docs, "__copy"), free_name(docs, "__key")
+    out = out.where(F.col(n) > 0).withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(n))))
+    out = out.withColumn(key, shuffle_key(id_col, copy, seed))
+    order = [key, F.col(id_col), copy]
+    return out.repartitionByRange(*order).sortWithinPartitions(*order).select(*docs.columns, rate, n, copy, key)

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, raw
+from .common import cut, free_name, may_hold, raw, row_filter
 from .components import connected_components
 
 SHINGLE, PERCENT = 5, 75
@@ -558,11 +558,13 @@ def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     best = cut(best.select(F.col("best.doc_id").alias("__id"), F.col("best.th").alias("__th")), "best")
 
     on = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("th") == F.col("__th"))
-    gone = cut(found.join(best, on, "left_anti").select(F.col("doc_id").alias("__id"), F.col("th").alias("__th")), "gone")
-    again = cut(found.where("c > 1").join(best, on, "left_semi").select(F.col("doc_id").alias("__id"), F.col("th").alias("__th")), "again")
-    same = F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__row_th") == F.col("__th"))
-    left = docs.withColumn("__row_th", F.xxhash64(raw(text_col))).join(gone, same, "left_anti")
-    if again.limit(1).count():
-        one = left.join(again, same, "left_semi").dropDuplicates([id_col, "__row_th"])
-        left = left.join(again, same, "left_anti").unionByName(one)
-    return left.select(*docs.columns)
+    h, l_id, l_th, l_again = (free_name(docs, c) for c in ("body_hash", "loser_id", "loser_hash", "loser_again"))
+    gone = found.join(best, on, "left_anti").select(F.col("doc_id").alias(l_id), F.col("th").alias(l_th), F.lit(False).alias(l_again))
+    again = found.where("c > 1").join(best, on, "left_semi").select(F.col("doc_id").alias(l_id), F.col("th").alias(l_th), F.lit(True).alias(l_again))
+    gone = cut(gone.unionByName(again), "gone")
+    bits = cut(row_filter(gone.select(F.col(l_th).alias("h"))), "filter")
+    keyed = docs.withColumn(h, F.xxhash64(raw(text_col)))
+    near = may_hold(keyed, h, bits).join(gone, F.col(id_col).eqNullSafe(F.col(l_id)) & (F.col(h) == F.col(l_th)), "left")
+    plain = near.where(F.col(l_again).isNull()).select(*docs.columns)
+    repeated = near.where(l_again).dropDuplicates([id_col, h]).select(*docs.columns)
+    return may_hold(keyed, h, bits, False).select(*docs.columns).unionByName(plain).unionByName(repeated)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import exact_dedup, line_crf, mixing, ngram_join, packing, pii, quality_rules, suffix_dedup, token_store, url_gbt
-from .common import cut, table
+from .common import cut, raw, table
 
 
 def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -42,7 +42,7 @@ def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole documents are mixed and written in their global order; the columns that SQL has are returned of them."""
     mixed = cut(mixing.mix(table(spark, sf_dir, "documents")), "mixed")
-    return mixed.select("doc_id", "source", F.col("__n").alias("n_copies"), F.col("__copy").alias("copy"), F.col("__key").alias("shuffle_key"))
+    return mixed.select("doc_id", "source", F.col("__n").alias("n_copies"), F.col("__copy").alias("copy"), F.col("__key").alias("shuffle_key"), F.md5(raw("text")).alias("text_md5"))
 
 
 def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,13 +71,15 @@ from documents window w as (partition by coalesce(text, ''))
     "op8_mixing": """
 with recursive c as (select coalesce(source, 'null') as src, count(*) as n from documents group by 1),
 w as (select src, n, sqrt(n::double) as w from c), t as (select sum(w) as tw, sum(n) as tn from w),
-r as (select src, 1.0::double * tn * (w / tw) / n as rate from w, t),
-cdf as (select src, rate, 0 as j, exp(-rate) as p, exp(-rate) as c from r
-        union all select src, rate, j + 1, p * rate / (j + 1), c + p * rate / (j + 1) from cdf where j < ceil(rate + 12 * sqrt(rate) + 30)),
-d as (select doc_id, source, coalesce(source, 'null') as src,
-             ('0x' || substr(md5('0:n:' || coalesce(doc_id::varchar, 'null')), 1, 13))::bigint::double / 4503599627370496.0 as u from documents),
-k as (select d.doc_id, d.source, count(*) filter (d.u >= cdf.c)::int as n_copies from d join cdf using (src) group by all)
-select doc_id, source, n_copies, copy::int as copy, md5('0:k:' || coalesce(doc_id::varchar, 'null') || ':' || copy) as shuffle_key
+r as (select src, rate, greatest(1, ceil(rate / 708))::int as parts, rate / greatest(1, ceil(rate / 708)) as part
+      from (select src, 1.0::double * tn * (w / tw) / n as rate from w, t)),
+cdf as (select src, part, 0 as j, exp(-part) as p, exp(-part) as c from r
+        union all select src, part, j + 1, p * part / (j + 1), c + p * part / (j + 1) from cdf where j < ceil(part + 12 * sqrt(part) + 30)),
+d as (select doc_id, documents.source, md5(coalesce(text, '')) as text_md5, r.src, unnest(range(1, parts + 1)) as i
+      from documents join r on r.src = coalesce(documents.source, 'null')),
+u as (select *, ('0x' || substr(md5('0:n' || (case when i > 1 then i::varchar else '' end) || ':' || coalesce(doc_id::varchar, 'null')), 1, 13))::bigint::double / 4503599627370496.0 as u from d),
+k as (select u.doc_id, u.source, u.text_md5, count(*) filter (u.u >= cdf.c)::int as n_copies from u join cdf using (src) group by all)
+select doc_id, source, n_copies, copy::int as copy, md5('0:k:' || coalesce(doc_id::varchar, 'null') || ':' || copy) as shuffle_key, text_md5
 from (select *, unnest(range(1, n_copies + 1)) as copy from k)
 """,
 }
