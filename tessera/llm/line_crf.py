@@ -221,12 +221,14 @@ def held_out(id_col: str | Column) -> Column:
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_train: int = MAX_TRAIN) -> LineModel:
-    """Fit on a bounded sample: the max_train labelled ids with the smallest hashes among those not held out. Rows with a
-    null label are not used; of contradicting labels of one id the larger counts."""
+    """Fit on a bounded sample: the max_train labelled ids with the smallest hashes among those not held out, and of their
+    rows (an id may repeat) the max_train with the smallest text hashes. Rows with a null label are not used; of
+    contradicting labels of one id the larger counts."""
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col))
     known = known.groupBy(F.col(id_col).alias("__id")).agg(F.max(label_col).cast("int").alias("__y"))
     chosen = known.orderBy(F.md5(F.col("__id").cast("string")), "__id").limit(max_train)
-    rows = docs.select(F.col(id_col).alias("__id"), empty_if_null(text_col).alias("__t")).join(F.broadcast(chosen), "__id")  # at most max_train rows
+    rows = docs.select(F.col(id_col).alias("__id"), empty_if_null(text_col).alias("__t")).join(F.broadcast(chosen), "__id")  # at most max_train rows on the right
+    rows = rows.withColumn("__h", F.xxhash64("__t")).orderBy("__h", "__id").limit(max_train).drop("__h")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -152,7 +152,6 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokeni
     by = {f"__order{k}": F.col(c) if isinstance(c, str) else c for k, c in enumerate(order)}
     rows = docs.select(F.col(id_col).alias("doc_id"), empty_if_null(text_col).alias("text"), *[c.alias(k) for k, c in by.items()])
     ties = ["doc_id", F.xxhash64("text")]
-    rows = rows.repartitionByRange(*by, *ties) if by else rows.repartitionByRange("doc_id")
-    rows = rows.sortWithinPartitions(*by, *ties).select("doc_id", "text")
+    rows = rows.repartitionByRange(*by, *ties).sortWithinPartitions(*by, *ties).select("doc_id", "text")
     schema = f"doc_id {dict(rows.dtypes)['doc_id']}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + ", ids array<int>" * carry
     return rows.mapInArrow(run, schema)

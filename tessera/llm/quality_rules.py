@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, empty_if_null
+from .common import SPACES, empty_if_null, free_name
 
 WORD_GAP = r"[\x20\x09-\x0D]+"
 SYMBOLS = "#*$%&|<>"
@@ -63,6 +63,10 @@ def _repeated(grams: Column) -> Column:
     return placed, F.array_sort(inner)
 
 
+#: Columns that stand only while metrics() is made; those of docs with these names are set aside meanwhile.
+HELPERS = ("__t", "__w", "__lines", "__g", "__placed", "__p")
+
+
 def metrics(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """docs with n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words and the ratios of the rules.
 
@@ -70,8 +74,9 @@ def metrics(docs: DataFrame, text_col: str = "text") -> DataFrame:
     of five words that occur twice or more in the text, the first occurrence included. Windows are compared by a 64-bit
     hash within one text. Columns of docs with these names are replaced.
     """
-    text = empty_if_null(text_col)
-    d = docs.withColumn("__t", text).withColumn("__w", _words(F.col("__t")))
+    names = {c: free_name(docs, c + "_") for c in docs.columns if c.lower() in HELPERS}
+    d = docs.withColumn("__t", empty_if_null(text_col)) if not names else docs.withColumnsRenamed(names).withColumn("__t", empty_if_null(names.get(text_col, text_col)))
+    d = d.withColumn("__w", _words(F.col("__t")))
     d = d.withColumn("n_words", F.size("__w").cast("long"))
     d = d.withColumn("word_chars", F.length(F.translate("__t", SPACES, "")).cast("long"))
     d = d.withColumn("n_symbols", (F.length("__t") - F.length(F.translate("__t", SYMBOLS, ""))).cast("long"))
@@ -106,7 +111,7 @@ def metrics(docs: DataFrame, text_col: str = "text") -> DataFrame:
             "repeat_word_ratio": F.col("n_repeat_words") / n,
         }
     )
-    return d.drop("__t", "__w", "__lines", "__g", "__placed", "__p")
+    return d.drop(*HELPERS).withColumnsRenamed({v: k for k, v in names.items()})
 
 
 def compiled(rules: tuple[Rule, ...] = RULES) -> Column:
@@ -121,15 +126,25 @@ def compiled(rules: tuple[Rule, ...] = RULES) -> Column:
     return verdict
 
 
+#: Columns that quality_rules() adds.
+ADDED = (
+    "n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "mean_word_chars", "symbols_per_word", "stop_word_ratio",
+    "dup_line_ratio", "upper_ratio", "repeat_word_ratio", "base_failed", "kept",
+)
+
+
 def quality_rules(docs: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """metrics() plus base_failed (fewer than 10 words, or over 20 % repeated words) and kept.
+    """metrics() plus base_failed (fewer than 10 words, or over 20 % repeated words) and kept. Repeated rows give repeated
+    rows; an empty table gives an empty result.
 
-    Write the result before filtering by its columns: the optimizer would copy the nested projections into the filter, and
-    planning then takes minutes.
+    The added columns leave as one generated row for each document, so a filter by them stays behind the projection and is
+    not copied into it.
     """
+    others = [c for c in docs.columns if c.lower() not in ADDED]
     d = metrics(docs, text_col)
     d = d.withColumn("base_failed", (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words")))
-    return d.withColumn("kept", ~F.col("base_failed") & compiled(rules))
+    d = d.withColumn("kept", ~F.col("base_failed") & compiled(rules))
+    return d.select(*others, F.inline(F.array(F.struct(*ADDED))))
 
 
 def rules_sql(columns: str, rules: tuple[Rule, ...] = RULES) -> str:

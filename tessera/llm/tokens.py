@@ -2,12 +2,14 @@
 
 The file lower-cases a text, splits it into words and encodes each word by itself, so a text's ids are the ids of its
 words one after the other. A word's ids are computed once per Python worker and kept as packed bytes. Texts in which that
-does not hold (special tokens' strings, separators that Python and the tokenizer class differently) are encoded whole.
+does not hold (special tokens' strings, separators that Python and the tokenizer class differently) are encoded whole, and
+so is every text with a file of other settings.
 """
 
 from __future__ import annotations
 
 import functools
+import json
 import re
 import struct
 import unicodedata
@@ -55,6 +57,25 @@ class _Memo(dict):
         return found
 
 
+#: The settings for which the patterns above stand.
+_NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
+_SPLIT = {"type": "Split", "pattern": {"Regex": rf"{_SHORT}|[\p{{L}}]+|[\p{{N}}]|[^\s\p{{L}}\p{{N}}]+"}, "behavior": "Removed", "invert": True}
+_BYTE_LEVEL = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
+
+
+def by_words(settings: dict) -> bool:
+    """Whether a tokenizers file encodes word by word in the way that this module repeats."""
+    normal, before = settings.get("normalizer") or {}, settings.get("pre_tokenizer") or {}
+    model, added = settings.get("model") or {}, settings.get("added_tokens") or []
+    return (
+        normal.get("normalizers") == _NORMALIZERS
+        and before.get("pretokenizers") == [_SPLIT, _BYTE_LEVEL]
+        and model.get("type") == "BPE" and not model.get("dropout")
+        and all(t["content"].startswith("<|") for t in added)
+        and not settings.get("truncation") and not settings.get("padding")
+    )
+
+
 class Encoder:
     """encode(text) -> uint32 array; a None text counts as empty."""
 
@@ -65,6 +86,8 @@ class Encoder:
         self.vocab_size = self.tok.get_vocab_size()
         self.model = self.tok.model
         self.words = _Memo(self._word)
+        with open(path, encoding="utf-8") as file:
+            self.by_words = by_words(json.load(file))
 
     def _word(self, word: str) -> bytes:
         ids = [t.id for t in self.model.tokenize(word.encode().decode("latin1").translate(_BYTES))]
@@ -76,7 +99,7 @@ class Encoder:
     def encode(self, text: str | None) -> np.ndarray:
         if not text:
             return np.zeros(0, dtype="<u4")
-        if _ODD.search(text):
+        if not self.by_words or _ODD.search(text):
             return np.frombuffer(self._whole(text), dtype="<u4")
         if text.isascii():
             pieces = _ASCII.findall(text.lower())

@@ -4,11 +4,13 @@ import collections
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tessera.llm import components, exact_dedup, gbt, line_crf, mixing, ngram_join, packing, pii, quality_rules, queries, suffix_dedup, token_store, tokens, url_gbt
 from tessera.llm.common import cut
@@ -213,8 +215,8 @@ def test_packing_wastes_little(spark, sf_dir):
 
 def test_token_store(spark, corpus, tmp_path):
     store = token_store.write_tokens(frame(spark, corpus), str(tmp_path / "t"), shard_ids=4000)
-    assert len(store.shards) > 3
-    got = answer(token_store.read_tokens(spark, store), "doc_id", "start", "n_tokens", "ids_crc32")
+    assert store.shards().count() > 3
+    got = answer(token_store.read_tokens(store), "doc_id", "start", "n_tokens", "ids_crc32")
     want = collections.Counter((k, len(ids), crc(ids)) for k, ids in all_ids(corpus, 1))
     assert collections.Counter((k, n, c) for k, _, n, c in got) == want
     by_start = sorted(got, key=lambda r: r[1])
@@ -230,7 +232,56 @@ def test_token_store(spark, corpus, tmp_path):
 
 def test_token_store_empty(spark, tmp_path):
     store = token_store.write_tokens(frame(spark, []), str(tmp_path / "t"))
-    assert store.shards == [] and token_store.read_tokens(spark, store).collect() == []
+    assert store.shards().collect() == [] and token_store.read_tokens(store).collect() == []
+
+
+class Counted:
+    """A file that counts the bytes read."""
+
+    def __init__(self, data):
+        self.data, self.at, self.read_bytes = data, 0, 0
+
+    def seek(self, at):
+        self.at = at
+
+    def read(self, n):
+        self.read_bytes += n
+        return self.data[self.at : self.at + n]
+
+
+def test_lookup_reads_little():
+    most = []
+    for n in (200, 20_000):
+        keys = sorted(random.Random(n).sample(range(-(10**12), 10**12), n))
+        data = token_store.encode_shard(keys, [np.arange(k % 5) for k in range(n)], 2)
+        file = Counted(data)
+        shard = token_store.Shard(file, len(data))
+        spent = []
+        for k in range(0, n, n // 100):
+            before = file.read_bytes
+            first, count = shard.find(keys[k])
+            assert (first, count) == (k, 1) and shard.ids(first).tolist() == list(range(k % 5))
+            spent.append(file.read_bytes - before)
+        most.append(np.mean(spent))
+        assert sum(shard.find(x)[1] for x in range(10**13, 10**13 + 200)) == 0
+    assert max(most) < 400 and file.read_bytes < 0.2 * len(data)
+
+
+def test_other_tokenizer_files_are_encoded_whole(corpus):
+    import public_tokenizers
+
+    enc = tokens.Encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    assert not enc.by_words and tokens.encoder(tokens.default_path()).by_words
+    for t in [t for _, t in corpus if t][:40]:
+        assert enc.encode(t).tolist() == enc.tok.encode(t, add_special_tokens=False).ids
+
+
+def test_encoder_equals_library_on_all_documents(spark):
+    enc = tokens.encoder(tokens.default_path())
+    texts = [r[0] or "" for r in spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("text").collect()]
+    for k in range(0, len(texts), 1000):
+        for t, e in zip(texts[k : k + 1000], enc.tok.encode_batch(texts[k : k + 1000], add_special_tokens=False)):
+            assert enc.encode(t).tolist() == e.ids
 
 
 def test_perfect_hash_is_minimal():
@@ -261,6 +312,16 @@ def test_quality_rules(spark, corpus):
     assert quality_rules.quality_rules(frame(spark, [])).collect() == []
 
 
+def test_quality_rules_can_be_filtered(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").withColumn("__t", F.lit("mine")).withColumn("kept", F.lit("old"))
+    out = quality_rules.quality_rules(docs)
+    want = [r["doc_id"] for r in out.collect() if r["kept"]]
+    began = time.time()
+    got = out.where("kept and n_words >= 10").collect()
+    assert time.time() - began < 30 and len(want) > 0
+    assert collections.Counter(r["doc_id"] for r in got) == collections.Counter(want) and {r["__t"] for r in got} == {"mine"}
+
+
 def test_quality_rules_keep_good_documents(spark, sf_dir):
     docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
     got = quality_rules.quality_rules(docs.select("doc_id", "text")).select("doc_id", "base_failed", "kept").toPandas().merge(labels.toPandas(), on="doc_id")
@@ -302,12 +363,43 @@ def test_find_pii(spark):
     assert pii.find_pii(frame(spark, [])).collect() == []
 
 
+def test_base_spans_in_long_runs():
+    for text in ("1" * 10**6, "a" * 10**6 + "@", "1" * 5000 + ".1.1.1", "a@" * 10**5, "+" * 10**6, "0" * 5000 + "1.2.3.4"):
+        began = time.time()
+        found = pii.base_spans(text)
+        pii.added_spans(text, found, pii.default_model())
+        assert time.time() - began < 5
+    assert found == [("ip", 0, 5007)]
+
+
+@pytest.mark.parametrize("kind", pii.ADDED)
+def test_pii_recall_of_each_form(kind):
+    r, model, hit = random.Random(99), pii.default_model(), collections.Counter()
+    for _ in range(60):
+        for k, s in enumerate(pii.printed(kind, r, True)):
+            lead = f"some words, {r.choice(pii.FOR)}: "
+            base = pii.base_spans(lead + s)
+            hit[k] += any(a <= len(lead) and b >= len(lead + s) for _, a, b in base + pii.added_spans(lead + s, base, model))
+    assert min(hit.values()) >= 54
+
+
+def test_pii_finds_the_tokens_of_documents(spark):
+    n = hit = 0
+    for (t,) in spark.read.parquet("/root/testdata/sf0.1/documents.parquet").where("text like '%token = %'").select("text").collect():
+        base = pii.base_spans(t)
+        spans = pii.added_spans(t, base, pii.default_model())
+        for m in re.finditer('token = "([0-9a-f]{40})"', t):
+            n += 1
+            hit += ("secret", *m.span(1)) in spans
+    assert n > 50 and hit >= 0.9 * n
+
+
 def test_pii_trees_generalise():
     x, y = pii.training_set(seed=99)
     trees, limits = pii.default_model()
     kind = x[:, : len(pii.ADDED)].argmax(axis=1)
     said = trees.proba(x) >= np.array(limits)[kind]
-    assert y[said].mean() > 0.93 and said[y == 1].mean() > 0.6
+    assert y[said].mean() > 0.93 and said[y == 1].mean() > 0.85
 
 
 # op7 ------------------------------------------------------------------------------------------------------------------
@@ -395,6 +487,20 @@ def test_mixing_large_rates(spark, rate):
         assert n[k] == np.searchsorted(cdf, u, side="right").sum()
 
 
+def test_clashing_names_stay(spark):
+    r = random.Random(4)
+    text = prose(r, 60, 900)
+    rows = [(1, text, "a"), (2, text, "a"), (2, text, "a"), (3, text + " x", None), (None, "", "b"), (None, None, "b")]
+    helpers = ["__id", "__sha", "__key", "__n", "__copy", "__rate", "__src", "__u", "h", "uid", "bits", "bucket", "loser_id", "loser_again", "body_hash", "component"]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").select("*", *[F.lit("M").alias(h) for h in helpers])
+    for out in (exact_dedup.drop_exact_duplicates(docs), ngram_join.keep_one_of_each(docs), mixing.mix(docs).select(*docs.columns)):
+        got = out.collect()
+        assert out.columns == docs.columns and all(set(x[3:]) == {"M"} for x in got) and got
+    assert sorted(r["doc_id"] or 0 for r in exact_dedup.drop_exact_duplicates(docs).collect()) == [0, 2, 3]
+    out = mixing.mix(docs)
+    assert out.columns[-4:] == ["__rate_", "__n_", "__copy_", "__key_"]
+
+
 def test_mixing_query_mixes_whole_documents(spark, sf_dir, monkeypatch):
     written = []
     monkeypatch.setattr(queries, "cut", lambda df, name: written.append(cut(df, name)) or written[-1])
