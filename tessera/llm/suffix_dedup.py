@@ -11,6 +11,9 @@ offset would multiply the input, so names are kept for positions that the text i
 3. The other windows are named in groups of `group` neighbours at growing lengths: by the string that the windows of a
    group share, then by whole windows. What is unique at one length drops out before the next.
 
+doubled_spans() is the plain method without a sample: Spark sorts the rank pairs of every position at growing offsets. It
+is exact, but its shuffles are hundreds of times the input, so it serves as the measure that the sample is held to.
+
 Two names that decide a removal together have 128 bits. Texts are read three times at most and shuffled once; what
 follows runs over the texts that still have open anchors.
 """
@@ -26,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, raw
+from .exact_dedup import _ranked
 
 LENGTH = 400
 GRAM = 100
@@ -117,6 +121,26 @@ def covered(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
+def doubled_spans(texts: DataFrame, length: int = LENGTH) -> DataFrame:
+    """texts (uid, body) -> (uid, lo, hi): every string of `length` bytes that starts at two places, by prefix doubling.
+
+    A position's first rank is its byte. At each offset the pairs of a position's rank and that of the position so far
+    ahead are sorted over the whole table; a pair's place in that order is the new rank. Positions with a pair of their own
+    start no repeated string and drop out, and with them those that would need their rank.
+    """
+    at = F.posexplode(F.split(F.hex("body"), "(?<=\\G..)")).alias("pos", "r")
+    ranks = cut(texts.where(F.octet_length("body") >= length).select("uid", at).where("r <> ''").select("uid", "pos", F.conv("r", 16, 10).cast("long").alias("r")), "ranks")
+    have = 1
+    while have < length:
+        step = min(have, length - have)
+        ahead = ranks.select("uid", (F.col("pos") - step).alias("pos"), F.col("r").alias("s"))
+        pairs = cut(ranks.join(ahead, ["uid", "pos"]), "pairs")
+        names = _ranked(pairs.groupBy("r", "s").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("r", "s"), ["r", "s"], "name")
+        ranks = cut(pairs.join(names, ["r", "s"]).select("uid", "pos", F.col("name").alias("r")), "ranks")
+        have += step
+    return ranks.select("uid", F.col("pos").cast("long").alias("lo"), (F.col("pos") + length).cast("long").alias("hi"))
+
+
 #: A document is its id and its body's fingerprint; ids may be null.
 _ON = "doc_id <=> w and h = wh"
 
