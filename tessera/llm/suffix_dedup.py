@@ -12,7 +12,8 @@ offset would multiply the input, so names are kept for positions that the text i
    group share, then by whole windows. What is unique at one length drops out before the next.
 
 doubled_spans() is the plain method without a sample: Spark sorts the rank pairs of every position at growing offsets. It
-is exact, but its shuffles are hundreds of times the input, so it serves as the measure that the sample is held to.
+is exact, but its tables and shuffles are over a hundred times the input, so it serves as the measure that the sample is
+held to.
 
 Two names that decide a removal together have 128 bits. Texts are read three times at most and shuffled once; what
 follows runs over the texts that still have open anchors.
