@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,6 +30,16 @@ def raw(text: str | Column) -> Column:
     return F.encode(empty_if_null(text), "UTF-8")
 
 
+#: Texts that a Python worker holds as objects at a time.
+TEXTS = 256
+
+
+def each(column: pa.Array, size: int = TEXTS) -> Iterator:
+    """The values of a column as Python objects, made a few at a time."""
+    for at in range(0, len(column), size):
+        yield from column.slice(at, size).to_pylist()
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """name, or name with underscores behind it that no column of df has (names differ in more than case)."""
     taken = {c.lower() for c in df.columns}

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import empty_if_null
+from .common import each, empty_if_null
 
 MAX_TRAIN = 3000
 #: Lower bounds of the bins of each line feature; the first bin holds what lies below all bounds.
@@ -232,7 +232,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [line_bins(t) for t in batch.column("__t").to_pylist()]
+            found = [line_bins(t) for t in each(batch.column("__t"))]
             yield pa.RecordBatch.from_pydict(
                 {"__id": batch.column("__id"), "y": batch.column("__y"), "bins": pa.array([b.astype(np.uint8).tobytes() for b, _ in found], pa.binary()), "size": pa.array([s.astype("<i4").tobytes() for _, s in found], pa.binary())}
             )
@@ -249,7 +249,7 @@ def score_quality(docs: DataFrame, model: LineModel, id_col: str = "doc_id", tex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            s = [model.score(t) for t in batch.column(2).to_pylist()]
+            s = [model.score(t) for t in each(batch.column(2))]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(s, pa.float64()), pa.array([int(x >= 0.5) for x in s], pa.int32())], ["doc_id", "held_out", "score", "predicted"])
 
     return rows.mapInArrow(run, f"doc_id {dict(rows.dtypes)['doc_id']}, held_out boolean, score double, predicted int")
@@ -261,7 +261,7 @@ def keep_good(docs: DataFrame, model: LineModel, text_col: str = "text") -> Data
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            good = [model.score(t or "") >= 0.5 for t in batch.column(at).to_pylist()]
+            good = [model.score(t or "") >= 0.5 for t in each(batch.column(at))]
             yield batch.filter(pa.array(good, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, free_name, may_hold, raw, row_filter
+from .common import TEXTS, cut, each, free_name, may_hold, raw, row_filter
 from .components import connected_components
 
 SHINGLE, PERCENT = 5, 75
@@ -182,13 +182,14 @@ class Trie:
                     yield number
 
 
-#: Texts, and rows of output, that a Python worker holds at a time.
-TEXTS, ROWS = 256, 1 << 18
+#: Rows of output that a Python worker holds at a time.
+ROWS = 1 << 18
 
 
-def _bodies(column: pa.Array) -> Iterator[bytes]:
-    for at in range(0, len(column), TEXTS):
-        yield from column.slice(at, TEXTS).to_pylist()
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, len(batch), TEXTS):
+            yield batch.slice(at, TEXTS)
 
 
 def _signed(x: np.ndarray) -> pa.Array:
@@ -215,7 +216,7 @@ def _first_pass(docs: DataFrame, size: int) -> DataFrame:
             kind = batch.schema.field(0).type
             n, d0, d1 = [], [], []
             seen = set()
-            for body in _bodies(batch.column(2)):
+            for body in each(batch.column(2)):
                 names = shingles(body, size)
                 a, b = digest(names)
                 n.append(len(names))
@@ -250,7 +251,7 @@ def _parts(docs: DataFrame, order: Order, size: int, percent: int) -> DataFrame:
             return pa.RecordBatch.from_arrays([_signed(np.concatenate(g)), pa.array(np.concatenate(d)), pa.array(np.concatenate(n)), pa.array(np.concatenate(p))], ["g", "d", "n", "p"])
 
         for batch in batches:
-            for body in _bodies(batch.column(2)):
+            for body in each(batch.column(2)):
                 names = shingles(body, size)
                 if not len(names) or (key := digest(names)[0]) in seen:
                     continue
@@ -351,11 +352,11 @@ def _open_sets(meetings: DataFrame, percent: int) -> DataFrame:
 
 def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """pairs (a, b) distinct, sets (d, names) -> the pairs whose sets reach the threshold. Each a is a probe; the sets of
-    its b come behind it in sorted batches and form tries, so memory is bounded by a batch."""
+    its b come behind it in sorted batches and form tries, so memory is bounded by a slice of a batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lead, probe = None, None
-        for batch in batches:
+        for batch in _slices(batches):
             a, b, kind = (batch.column(k).to_pylist() for k in (0, 1, 3))
             names = [np.frombuffer(x, dtype="<u8") for x in batch.column(2).to_pylist()]
             out: list[tuple[int, int]] = []
@@ -452,7 +453,7 @@ def _joined(pairs: DataFrame, units: DataFrame, sets: DataFrame, percent: int) -
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, trie, held, done = None, None, [], set()
-        for batch in batches:
+        for batch in _slices(batches):
             a, salt, kind, d, component = (batch.column(k).to_pylist() for k in range(5))
             names = [np.frombuffer(x, dtype="<u8") for x in batch.column(5).to_pylist()]
             out: list[tuple[int, int]] = []

@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import empty_if_null
+from .common import each, empty_if_null
 from .tokens import default_path, encoder
 
 WINDOW = 4096
@@ -138,7 +138,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokeni
         kind = None
         for batch in batches:
             kind = batch.schema.field(0).type
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for key, text in zip(each(batch.column(0)), each(batch.column(1))):
                 ids = np.r_[enc.encode(text), np.uint32(end_id)]
                 keys.append(key)
                 parts.append(ids)

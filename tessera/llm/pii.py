@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import gbt
-from .common import empty_if_null
+from .common import each, empty_if_null
 
 BASE = ("email", "ip", "card", "phone")
 #: Kinds that only the trees add.
@@ -259,7 +259,7 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mo
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = {k: [] for k in ("n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "redacted")}
-            for text in batch.column(1).to_pylist():
+            for text in each(batch.column(1)):
                 base = base_spans(text)
                 spans = base + added_spans(text, base, model)
                 n = Counter(s[0] for s in base)

@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut, empty_if_null, new_path
+from .common import cut, each, empty_if_null, new_path
 from .tokens import default_path, encoder
 
 MAGIC = b"TOKSHRD2"
@@ -84,8 +84,8 @@ def fingerprints(keys: np.ndarray) -> np.ndarray:
     return (_mixed(keys, 1 << 20) >> np.uint64(32)).astype("<u4")
 
 
-def encode_shard(keys: list[int | None], rows: list[np.ndarray], id_bytes: int) -> bytes:
-    """keys ascending, nulls first; rows: the ids of each."""
+def encode_shard(keys: list[int | None], rows: list[np.ndarray], id_bytes: int) -> Iterator[bytes]:
+    """The bytes of a shard, part by part. keys ascending, nulls first; rows: the ids of each."""
     kind = "<u2" if id_bytes == 2 else "<u4"
     nulls = sum(k is None for k in keys)
     values = np.array([0 if k is None else k for k in keys], dtype="<i8")
@@ -95,7 +95,6 @@ def encode_shard(keys: list[int | None], rows: list[np.ndarray], id_bytes: int)
     slots = np.zeros(len(distinct), SLOT)
     slots["print"][slot], slots["first"][slot], slots["count"][slot] = fingerprints(distinct), first + nulls, count
     offsets = np.cumsum([0, *map(len, rows)]).astype("<i8")
-    payload = (np.concatenate(rows) if rows else np.zeros(0)).astype(kind).tobytes()
     blocks = []
     for before, bits in zip(mph.before.tolist(), mph.levels):
         full = np.zeros(-(-len(bits) // BLOCK) * BLOCK, dtype=bool)
@@ -103,10 +102,12 @@ def encode_shard(keys: list[int | None], rows: list[np.ndarray], id_bytes: int)
         full = full.reshape(-1, BLOCK)
         counts = before + np.cumsum(np.r_[0, full.sum(axis=1)[:-1]])
         blocks.append(np.concatenate([counts.astype("<i8").view(np.uint8).reshape(-1, 8), np.packbits(full, axis=1)], axis=1).tobytes())
-    parts = [MAGIC + payload, values.tobytes(), offsets.tobytes(), slots.tobytes(), b"".join(blocks)]
-    places = np.cumsum([len(x) for x in parts])
+    parts = [values.tobytes(), offsets.tobytes(), slots.tobytes(), b"".join(blocks)]
+    places = np.cumsum([len(MAGIC) + id_bytes * int(offsets[-1]), *map(len, parts)])
     head = np.array([id_bytes, len(keys), nulls, len(distinct), offsets[-1], len(mph.levels), *places[:4], *map(len, mph.levels)], dtype="<i8")
-    return b"".join([*parts, head.tobytes(), np.array([places[4]], dtype="<i8").tobytes(), MAGIC])
+    yield MAGIC
+    yield from (np.concatenate(rows[k : k + 1024]).astype(kind).tobytes() for k in range(0, len(rows), 1024))
+    yield from [*parts, head.tobytes(), np.array([places[4]], dtype="<i8").tobytes(), MAGIC]
 
 
 class Shard:
@@ -219,14 +220,15 @@ def write_tokens(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col:
             name = f"{part:08d}-{number:06d}.tok"
             temp = f"{base}/_{name}-{uuid.uuid4().hex}"
             with fs.open_output_stream(temp) as out:
-                out.write(encode_shard(keys, rows, width))
+                for data in encode_shard(keys, rows, width):
+                    out.write(data)
             fs.move(temp, f"{base}/{name}")
             return pa.RecordBatch.from_pydict(
                 {"part": [part], "number": [number], "uri": [f"{folder}/{name}"], "first": pa.array([keys[0]], pa.int64()), "last": pa.array([keys[-1]], pa.int64()), "n_rows": [len(keys)], "n_ids": [sum(map(len, rows))]}
             )
 
         for batch in batches:
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for key, text in zip(each(batch.column(0)), each(batch.column(1))):
                 ids = np.r_[enc.encode(text), np.uint32(end_id)]
                 keys.append(key)
                 rows.append(ids.astype("<u2") if width == 2 else ids)
@@ -263,13 +265,13 @@ def read_tokens(store: Store) -> DataFrame:
                 rows = [*range(shard.nulls), *(r for a, k in zip(first.tolist(), n.tolist()) for r in range(a, a + k))]
                 if len(rows) != shard.n_rows or not np.array_equal(np.repeat(keys, n), all_keys[rows[shard.nulls :]]):
                     raise ValueError(f"the index of {uri} lacks rows")
-                data, at = ids.tobytes(), offsets.tolist()
+                at = offsets.tolist()
                 yield pa.RecordBatch.from_pydict(
                     {
                         "doc_id": pa.array([None if r < shard.nulls else int(all_keys[r]) for r in rows], pa.int64()),
                         "start": pa.array([before + at[r] for r in rows], pa.int64()),
                         "n_tokens": pa.array([at[r + 1] - at[r] for r in rows], pa.int64()),
-                        "ids_crc32": pa.array([zlib.crc32(data[4 * at[r] : 4 * at[r + 1]]) for r in rows], pa.int64()),
+                        "ids_crc32": pa.array([zlib.crc32(ids[at[r] : at[r + 1]]) for r in rows], pa.int64()),
                     }
                 )
 

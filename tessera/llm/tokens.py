@@ -18,7 +18,7 @@ import numpy as np
 import regex
 
 #: Words kept per worker; at the bound the memo starts anew.
-MEMO = 800_000
+MEMO = 250_000
 #: The file's pre-tokenizer after lower-casing, for ASCII, for texts of ASCII and Latin-1 letters, and for any text.
 _SHORT = "'s|'t|'re|'ve|'m|'ll|'d"
 _ASCII = re.compile(rf"[a-z]+|{_SHORT}|[0-9]|[^\sa-z0-9]+")

@@ -268,7 +268,7 @@ def test_lookup_reads_little():
     most = []
     for n in (200, 20_000):
         keys = sorted(random.Random(n).sample(range(-(10**12), 10**12), n))
-        data = token_store.encode_shard(keys, [np.arange(k % 5) for k in range(n)], 2)
+        data = b"".join(token_store.encode_shard(keys, [np.arange(k % 5) for k in range(n)], 2))
         file = Counted(data)
         shard = token_store.Shard(file, len(data))
         spent = []
