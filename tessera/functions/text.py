@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -23,17 +25,29 @@ def is_blank(x: Column) -> Column:
     return ~x.rlike(NOT_WS)
 
 
+def dot(a: Column, b: Column) -> Column:
+    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda acc, x: acc + x)
+
+
+def norm(a: Column) -> Column:
+    return F.sqrt(dot(a, a))
+
+
+def let(x: Column, f: Callable[[Column], Column]) -> Column:
+    """f(x) with x computed once, however often f uses it."""
+    return F.get(F.transform(F.array(x), f), F.lit(0))
+
+
 def sentence_spans(x: Column) -> Column:
     """Sentences with the white space behind them; joined they are the text. An empty text is one empty sentence."""
     found = F.filter(F.regexp_extract_all(x, F.lit(SENTENCE), F.lit(0)), lambda s: s != "")
-    return F.when(F.size(found) > 0, found).otherwise(F.array(F.lit("")))
+    return let(found, lambda s: F.when(F.size(s) > 0, s).otherwise(F.array(F.lit(""))))
 
 
 def split_sentences(x: Column) -> Column:
     """Sentences without the white space between them, blank ones dropped; the whole text if none is left."""
     cut = F.transform(sentence_spans(x), lambda s: F.regexp_replace(s, rf"([.!?。！？]){WS}+\z", "$1"))
-    kept = F.filter(cut, lambda s: s.rlike(NOT_WS))
-    return F.when(F.size(kept) > 0, kept).otherwise(F.array(x))
+    return let(F.filter(cut, lambda s: s.rlike(NOT_WS)), lambda kept: F.when(F.size(kept) > 0, kept).otherwise(F.array(x)))
 
 
 def token_count(x: Column) -> Column:
@@ -48,21 +62,25 @@ def tokens(x: Column) -> Column:
 
 
 def split_long(x: Column, max_tokens: int = C.SEGMENT_MAX_TOKENS) -> Column:
-    """Pieces of at most max_tokens cut at sentence ends; a single longer sentence stays whole."""
+    """Pieces of at most max_tokens cut at sentence ends; a single longer sentence stays whole. The fold runs over the
+    sentences' token counts and yields the places of the cuts; text is joined once."""
 
-    def step(acc: Column, s: Column) -> Column:
-        t = token_count(s)
-        full = (acc["cur"] != "") & (acc["n"] + t > max_tokens)
+    def step(acc: Column, t: Column) -> Column:
+        full = (acc["i"] > 0) & (acc["n"] + t > max_tokens)
         return F.struct(
-            F.when(full, F.concat(acc["parts"], F.array(acc["cur"]))).otherwise(acc["parts"]).alias("parts"),
-            F.when(full, s).otherwise(F.concat(acc["cur"], s)).alias("cur"),
+            F.when(full, F.concat(acc["cuts"], F.array(acc["i"]))).otherwise(acc["cuts"]).alias("cuts"),
             F.when(full, t).otherwise(acc["n"] + t).alias("n"),
+            (acc["i"] + 1).alias("i"),
         )
 
-    start = F.struct(F.array().cast("array<string>").alias("parts"), F.lit("").alias("cur"), F.lit(0).alias("n"))
-    pieces = F.aggregate(sentence_spans(x), start, step, lambda acc: F.concat(acc["parts"], F.array(acc["cur"])))
-    kept = F.filter(pieces, lambda p: p.rlike(NOT_WS))
-    long = F.when(F.size(kept) > 0, kept).otherwise(F.array(x))
+    def pieces(s: Column) -> Column:
+        start = F.struct(F.array(F.lit(0)).alias("cuts"), F.lit(0).alias("n"), F.lit(0).alias("i"))
+        cuts = F.aggregate(F.transform(s, token_count), start, step, lambda acc: F.concat(acc["cuts"], F.array(acc["i"])))
+        join = lambda c: F.transform(F.sequence(F.lit(1), F.size(c) - 1), lambda k: F.array_join(F.slice(s, F.get(c, k - 1) + 1, F.get(c, k) - F.get(c, k - 1)), ""))
+        return let(cuts, join)
+
+    kept = F.filter(let(sentence_spans(x), pieces), lambda p: p.rlike(NOT_WS))
+    long = let(kept, lambda k: F.when(F.size(k) > 0, k).otherwise(F.array(x)))
     return F.when(token_count(x) <= max_tokens, F.array(x)).otherwise(long)
 
 

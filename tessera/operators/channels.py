@@ -52,21 +52,21 @@ def bm25(queries: DataFrame, index: Index) -> DataFrame:
     return _bm25(query_terms(queries), index)
 
 
-def _dot(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda acc, x: acc + x)
+_dot = T.dot
 
 
 def cosine_distance(a: Column, b: Column) -> Column:
     """Null for a vector of zeros."""
-    return 1 - F.try_divide(_dot(a, b), F.sqrt(_dot(a, a)) * F.sqrt(_dot(b, b)))
+    return 1 - F.try_divide(_dot(a, b), T.norm(a) * T.norm(b))
 
 
 def vector(queries: DataFrame, query_vectors: DataFrame | None, index: Index) -> DataFrame | None:
     """Exact nearest neighbours within a user; query_vectors (query_id, vector). None without vectors."""
     if query_vectors is None or index.vectors is None:
         return None
-    q = queries.select(*KEYS, "n").join(query_vectors, "query_id")
-    d = q.join(index.vectors, "user_id").withColumn("distance", F.round(cosine_distance(F.col("embedding"), F.col("vector")), 12))
+    q = queries.select(*KEYS, "n").join(query_vectors, "query_id").withColumn("q_norm", T.norm(F.col("vector")))
+    distance = 1 - F.try_divide(_dot(F.col("embedding"), F.col("vector")), F.col("norm") * F.col("q_norm"))  # one product a pair
+    d = q.join(index.vectors, "user_id").withColumn("distance", F.round(distance, 12))
     d = d.where("distance is not null").select(*KEYS, "n", "pos", "distance")
     return _ranked(d, F.col("distance"), F.col("pos")).where("rank < n").drop("n")
 

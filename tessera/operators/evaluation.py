@@ -33,6 +33,60 @@ def platform_chunks(messages: DataFrame, key: list[str], order: str, text: str,
     return lists.select(*key, F.explode(F.aggregate("m", start, step, lambda acc: acc["out"])).alias("x")).select(*key, F.col("x.o").alias(order), F.col("x.c").alias("chunk"))
 
 
+#: Queries that one pass over the items holds.
+QUERY_BLOCK = 1024
+
+
+def nearest(queries: DataFrame, items: DataFrame, n: int) -> DataFrame:
+    """Exact nearest neighbours by cosine: queries (query_id, vector), items (item, embedding) -> (query_id, item, place)
+    with place from 0, ties by item, an item never its own query's. Null vectors and vectors of zeros have no distance.
+
+    Queries go in blocks of QUERY_BLOCK, each against all items: a matrix product an Arrow batch, of which each query's n
+    best are kept, so what is sorted afterwards are n rows a batch and query and not all pairs.
+    """
+    held = queries.where("vector is not null").select("query_id", "vector")
+    blocks = max(1, -(-held.count() // QUERY_BLOCK))
+    kinds = dict(held.dtypes)["query_id"], dict(items.dtypes)["item"]
+    out = None
+    for k in range(blocks):
+        part = held if blocks == 1 else held.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == k)
+        rows = part.collect()  # about QUERY_BLOCK rows
+        found = items.mapInArrow(_best_of([r["query_id"] for r in rows], [r["vector"] for r in rows], n), f"query_id {kinds[0]}, item {kinds[1]}, dist double")
+        out = found if out is None else out.unionByName(found)
+    order = W.partitionBy("query_id").orderBy("dist", "item")
+    return out.withColumn("rn", F.row_number().over(order)).where(F.col("rn") <= n).select("query_id", "item", (F.col("rn") - 1).cast("int").alias("place"))
+
+
+def _best_of(ids: list, vectors: list, n: int):
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        q = np.array(vectors, dtype=float).reshape(len(ids), -1)
+        q_norm = np.sqrt((q * q).sum(axis=1))
+        for batch in batches:
+            keep = [k for k, v in enumerate(batch.column(1).to_pylist()) if v is not None]
+            if not keep or not ids:
+                continue
+            held = batch.column(0).take(pa.array(keep))
+            v = np.array(batch.column(1).take(pa.array(keep)).to_pylist(), dtype=float)
+            with np.errstate(divide="ignore", invalid="ignore"):
+                dist = np.round(1 - (q @ v.T) / (q_norm[:, None] * np.sqrt((v * v).sum(axis=1))[None, :]), 12)
+            items = held.to_pylist()
+            for k, key in enumerate(ids):
+                d = dist[k]
+                at = [j for j in np.nonzero(np.isfinite(d))[0].tolist() if items[j] != key]
+                best = sorted(at, key=lambda j: (d[j], items[j]))[:n]
+                yield pa.RecordBatch.from_arrays([pa.array([key] * len(best), kind_of(key)), held.take(pa.array(best, pa.int64())), pa.array(d[best])], ["query_id", "item", "dist"])
+
+    def kind_of(key):
+        import pyarrow as pa
+
+        return pa.scalar(key).type
+
+    return run
+
+
 def hit_at_k(results: DataFrame, gold: DataFrame, ks: tuple[int, ...] = KS, item: str = "item") -> DataFrame:
     """Results (query_id, place, item), gold (query_id, item) -> any@k and all@k per query. Queries without gold are
     skipped; result items that gold does not know keep their place."""

@@ -43,7 +43,7 @@ def union_channels(found: dict[str, DataFrame | None]) -> DataFrame:
 def rrf(queries: DataFrame, hits: DataFrame) -> DataFrame:
     """weighted reciprocal ranks, summed in the fixed order of the channels; ties go to the row that came in through the
     earlier channel, then to its rank there. Adds in_both for F02."""
-    d = hits.join(F.broadcast(queries.select("query_id", "intent")), "query_id")  # a query set, checked small by its source
+    d = hits.join(queries.select("query_id", "intent"), "query_id")
     start = lambda c: 0 if c in ("bm25", "vector") else C.VIRTUAL_RANK
     parts = {c: F.max(F.when(F.col("channel") == c, _weight(F.col("intent"), c) / (F.lit(C.RRF_K + start(c) + 1) + F.col("rank")))) for c in C.CHANNELS}
     number = F.lit(len(C.CHANNELS))
@@ -63,12 +63,8 @@ def both_first(order: DataFrame) -> DataFrame:
     return _rerank(order.withColumn("__r", F.col("rank")), F.desc("in_both"), F.col("__r")).drop("__r", "in_both")
 
 
-def apply_rerank(order: DataFrame, scores: DataFrame, must: DataFrame | None = None, window: int = C.RERANK_WINDOW, mix: float = C.RERANK_MIX) -> DataFrame:
-    """scores (query_id, pos, rs) for the window's rows reorder the window and replace their scores; rows behind stay.
-
-    must (query_id, pos, seq) names rows that have to be in the window: those that are not replace its tail. A query with
-    fewer than two rows in its window, or whose scores are incomplete, repeated or not finite, stays as it is (S15).
-    """
+def rerank_window(order: DataFrame, must: DataFrame | None = None, window: int = C.RERANK_WINDOW) -> DataFrame:
+    """order with __in, whether a row is in the window, and __r, its place; see apply_rerank()."""
     d = order.withColumn("__r", F.col("rank"))
     if must is not None:
         first = must.groupBy("query_id", "pos").agg(F.min("seq").alias("__m"))
@@ -79,6 +75,16 @@ def apply_rerank(order: DataFrame, scores: DataFrame, must: DataFrame | None = N
         d = _rerank(d.withColumn("__p", place).withColumn("__in", F.col("__p") < 2), F.col("__p"), F.col("__x"), F.col("__r")).withColumn("__r", F.col("rank"))
     else:
         d = d.withColumn("__in", F.col("rank") < window)
+    return d
+
+
+def apply_rerank(order: DataFrame, scores: DataFrame, must: DataFrame | None = None, window: int = C.RERANK_WINDOW, mix: float = C.RERANK_MIX) -> DataFrame:
+    """scores (query_id, pos, rs) for the window's rows reorder the window and replace their scores; rows behind stay.
+
+    must (query_id, pos, seq) names rows that have to be in the window: those that are not replace its tail. A query with
+    fewer than two rows in its window, or whose scores are incomplete, repeated or not finite, stays as it is (S15).
+    """
+    d = rerank_window(order, must, window)
     ok = scores.groupBy("query_id", "pos").agg(F.count(F.lit(1)).alias("__c"), F.first("rs").alias("__rs"))
     d = d.join(ok, ["query_id", "pos"], "left")
     mine = W.partitionBy(*KEYS)
@@ -136,7 +142,7 @@ def render_rows(order: DataFrame, index: Index) -> DataFrame:
 
 def pack_budget(rendered: DataFrame, queries: DataFrame, budget: int = C.BUDGET_TOKENS) -> DataFrame:
     """whole items in order until top_k; one that would exceed the budget is left out and the next one tried."""
-    d = rendered.join(queries.select("query_id", "k"), "query_id").withColumn("t", T.token_count(F.col("content")))
+    d = rendered.join(queries.select("query_id", "k"), "query_id").withColumn("t", T.token_count(F.col("content"))).where(F.col("t") <= budget)
     lists = d.groupBy(*KEYS, "k").agg(F.array_sort(F.collect_list(F.struct("rank", "pos", "t"))).alias("items"))
 
     def step(acc: Column, x: Column) -> Column:
@@ -170,7 +176,8 @@ def search(
         order, must = second_hop(q, order, found, query_vectors, index)
         order, must = cut(order, "order"), cut(must, "must")
     if scorer is not None:
-        head = render_rows(order.where(F.col("rank") < C.RERANK_WINDOW) if must is None else order, index).join(q.select("query_id", "q"), "query_id")
+        window = rerank_window(order, must).where("__in").drop("__in", "__r")  # the scorer sees no row beyond
+        head = render_rows(window, index).join(q.select("query_id", "q"), "query_id")
         order = cut(apply_rerank(order, scorer(head), must), "order")
     order = cut(add_neighbors(q, cut(insert_rules(q, order, index), "order"), index), "order")
     packed = pack_budget(render_rows(order, index), q, budget)

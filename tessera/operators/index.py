@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -12,21 +13,31 @@ from ..functions import constants as C
 from ..functions import text as T
 
 
-def positions(segments: DataFrame) -> DataFrame:
-    """Pos counts a user's segments from 0 in the order of session, seq and part."""
-    order = W.partitionBy("user_id").orderBy("session_id", "seq", "part")
-    return segments.withColumn("pos", (F.row_number().over(order) - 1).cast("int"))
+def _by_session(segments: DataFrame) -> DataFrame:
+    """segments with __first, the number of the user's segments in earlier sessions, and __number, the session's place. One
+    row a session is ordered within a user, not one row a segment, so a user with very many segments is no large group."""
+    sessions = segments.groupBy("user_id", "session_id").agg(F.count(F.lit(1)).alias("__n"))
+    order = W.partitionBy("user_id").orderBy("session_id")
+    earlier = F.sum("__n").over(order.rowsBetween(W.unboundedPreceding, 0)) - F.col("__n")
+    sessions = sessions.select(F.col("user_id").alias("__u"), F.col("session_id").alias("__s"), earlier.alias("__first"), F.row_number().over(order).alias("__number"))
+    return segments.join(sessions, F.expr("user_id <=> __u and session_id <=> __s")).drop("__u", "__s")
 
 
-def session_labels(rows: DataFrame) -> DataFrame:
-    """I16: sessions numbered in their order of appearance, which is their order."""
-    order = W.partitionBy("user_id").orderBy("session_id")
-    return rows.withColumn("session_label", F.concat(F.lit("session "), F.dense_rank().over(order).cast("string")))
+def _pos() -> Column:
+    order = W.partitionBy("user_id", "session_id").orderBy("seq", "part")
+    return (F.col("__first") + F.row_number().over(order) - 1).cast("int").alias("pos")
+
+
+def positions(segments: DataFrame) -> DataFrame:
+    """Pos counts a user's segments from 0 in the order of session, seq and part."""
+    return _by_session(segments).select(*segments.columns, _pos())
 
 
 def index_rows(segments: DataFrame) -> DataFrame:
-    """I01, I02, I16 together; the stored vector is reduced to whether there is one."""
-    rows = session_labels(positions(segments))
+    """Positions, labels of the sessions in their order of appearance, which is their order, and the indexed
+    text; the stored vector is reduced to whether there is one."""
+    label = F.concat(F.lit("session "), F.col("__number").cast("string")).alias("session_label")
+    rows = _by_session(segments).select(*segments.columns, _pos(), label)
     if "embedding" in rows.columns:
         rows = rows.withColumn("has_vector", F.col("embedding").isNotNull()).drop("embedding")
     return rows.withColumn("index_text", T.index_text(F.col("speaker_name"), F.col("role"), F.col("ts_value"), F.col("text")))
@@ -68,10 +79,12 @@ def first_spellings(named: DataFrame) -> DataFrame:
 
 def ambiguous_names(spellings: DataFrame) -> DataFrame:
     """(user_id, alias) of names within two or more longer names that are not taken for one person: such a container
-    counts if it matches no container before it."""
-    a, b = spellings.alias("a"), spellings.alias("b")
-    within = a.join(b, F.expr("a.user_id = b.user_id and a.alias <> b.alias and contains(b.alias, a.alias)"))
-    lists = within.groupBy("a.user_id", "a.alias").agg(F.array_sort(F.collect_list(F.struct("b.ord", "b.alias"))).alias("c"))
+    counts if it matches no container before it. Containers are found by an equi-join on their substrings."""
+    from_, n = F.sequence(F.lit(1), F.length("alias")), F.length("alias")
+    within = F.array_distinct(F.flatten(F.transform(from_, lambda i: F.transform(F.sequence(F.lit(1), n - i + 1), lambda k: F.substring(F.col("alias"), i, k)))))
+    holders = spellings.where("alias <> ''").select("user_id", "ord", F.col("alias").alias("holder"), F.explode(within).alias("alias"))
+    found = spellings.select("user_id", "alias").join(holders, ["user_id", "alias"]).where("alias <> holder")
+    lists = found.groupBy("user_id", "alias").agg(F.array_sort(F.collect_list(F.struct("ord", F.col("holder").alias("alias")))).alias("c"))
     fresh = F.filter("c", lambda x: ~F.exists(F.filter("c", lambda y: y["ord"] < x["ord"]), lambda y: T.same_person(x["alias"], y["alias"])))
     return lists.where(F.size(fresh) >= 2).select("user_id", "alias")
 
@@ -112,6 +125,13 @@ def rule_rows(rows: DataFrame) -> DataFrame:
     return rows.where("is_rule").select("user_id", "pos")
 
 
+def version_of(df: DataFrame) -> str:
+    """A name for the state of the files that df reads: their number, newest change and bytes."""
+    m = df.select(F.col("_metadata.file_path").alias("p"), F.col("_metadata.file_modification_time").alias("t"), F.col("_metadata.file_size").alias("n")).distinct()
+    r = m.agg(F.count(F.lit(1)).alias("c"), F.max(F.unix_micros("t")).alias("t"), F.sum("n").alias("n")).first()
+    return f"{r['c']}-{r['t']}-{r['n']}"
+
+
 @dataclass
 class Index:
     """The tables of one version of a store (I17): build once, keep or write them, and share them between searches."""
@@ -136,10 +156,30 @@ class Index:
         for v in self.tables().values():
             v.unpersist()
 
-    def write(self, path: str) -> None:
-        """Parquet under path, sorted by user within files, so that a search for few users prunes row groups."""
+    def write(self, path: str, version: str = "") -> None:
+        """Parquet under path, sorted by user within files, so that a search for few users prunes row groups. The version is
+        written last: an index whose writing broke off has none."""
         for k, v in self.tables().items():
             v.sortWithinPartitions("user_id").write.mode("overwrite").parquet(f"{path}/{k}")
+        spark = self.rows.sparkSession
+        spark.createDataFrame([(version,)], "version string").coalesce(1).write.mode("overwrite").parquet(f"{path}/version")
+
+    @classmethod
+    def stored_version(cls, spark, path: str) -> str | None:
+        """The version of the index at path; None where there is no whole one."""
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/version/_SUCCESS")
+        if not where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where):
+            return None
+        return spark.read.parquet(f"{path}/version").first()["version"]
+
+    @classmethod
+    def current(cls, spark, path: str, version: str, segments: Callable[[], DataFrame], vectors: bool = True) -> Index:
+        """The index at path if it has this version, else one built of segments() and written there. An old index is not
+        read while it is replaced: each version has a folder of its own."""
+        place = f"{path}/{version or 'index'}"
+        if cls.stored_version(spark, place) != version:
+            build_index(segments()).write(place, version)
+        return cls.read(spark, place, vectors)
 
     @classmethod
     def read(cls, spark, path: str, vectors: bool = True) -> Index:
@@ -154,5 +194,7 @@ def build_index(segments: DataFrame) -> Index:
     post, stats = postings(rows), corpus_stats(rows)
     named = names_of_rows(rows)
     groups = alias_groups(named)
-    vectors = positions(segments).where("embedding is not null").select("user_id", "pos", "embedding") if "embedding" in segments.columns else None
+    vectors = None
+    if "embedding" in segments.columns:
+        vectors = positions(segments).where("embedding is not null").select("user_id", "pos", "embedding").withColumn("norm", T.norm(F.col("embedding")))
     return Index(rows, post, stats, term_stats(post, stats), groups, entity_postings(named, groups), date_postings(rows), rule_rows(rows), vectors)

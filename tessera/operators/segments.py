@@ -87,8 +87,9 @@ def impute_timestamps(messages: DataFrame, state: DataFrame | None = None) -> Da
 
 def assemble(messages: DataFrame) -> DataFrame:
     """Messages with seq and time -> one row per piece."""
-    d = messages.withColumn("speaker_name", T.speaker_prefix(F.col("content"))).withColumn("__p", T.split_long(F.col("content")))
-    d = d.withColumn("total", F.size("__p")).select("*", F.posexplode("__p").alias("__i", "text")).withColumn("part", (F.col("__i") + 1).cast("int"))
+    d = messages.withColumn("speaker_name", T.speaker_prefix(F.col("content")))
+    pieces = T.let(T.split_long(F.col("content")), lambda p: F.transform(p, lambda x: F.struct(x.alias("text"), F.size(p).alias("total"))))
+    d = d.select("*", F.posexplode(pieces).alias("__i", "__p")).select("*", "__p.text", "__p.total", (F.col("__i") + 1).cast("int").alias("part"))
     return d.select(
         "user_id",
         F.concat(F.col("session_id"), F.lit("#"), F.col("seq").cast("string"), F.lit("."), F.col("part").cast("string")).alias("id"),

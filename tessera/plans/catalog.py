@@ -242,28 +242,28 @@ def g04_granularity(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", iso(ts).alias("at"), G.granularity(ts).alias("granularity"))
 
 
-@query(f"select doc_id, i - 1 as i, s[i] as sentence from (select doc_id, s, unnest(range(1, len(s) + 1)) as i from (select doc_id, {S.spans('text')} as s from documents where text is not null))")
+@query(f"select doc_id, i - 1 as i, s[i] as sentence from (select doc_id, s, unnest(range(1, len(s) + 1)) as i from (select doc_id, {S.spans("coalesce(text, '')")} as s from documents))")
 def g05_sentence_spans(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").where("text is not null")
-    return d.select("doc_id", F.posexplode(T.sentence_spans(F.col("text"))).alias("i", "sentence")).withColumn("i", F.col("i").cast("long"))
+    d = table(spark, sf_dir, "documents")
+    return d.select("doc_id", F.posexplode(T.sentence_spans(F.coalesce("text", F.lit("")))).alias("i", "sentence")).withColumn("i", F.col("i").cast("long"))
 
 
-@query(f"select conv_id, turn, len({S.sentences('text')})::int as n_sentences, array_to_string({S.sentences('text')}, '¦') as joined from conversations where text is not null")
+@query(f"select conv_id, turn, len({S.sentences('text')})::int as n_sentences, array_to_string({S.sentences('text')}, '¦') as joined from (select conv_id, turn, coalesce(text, '') as text from conversations)")
 def g06_sentence_split(spark, sf_dir):
-    s = T.split_sentences(F.col("text"))
-    return table(spark, sf_dir, "conversations").where("text is not null").select("conv_id", "turn", F.size(s).alias("n_sentences"), F.array_join(s, "¦").alias("joined"))
+    d = table(spark, sf_dir, "conversations").withColumn("s", T.split_sentences(F.coalesce("text", F.lit(""))))
+    return d.select("conv_id", "turn", F.size("s").alias("n_sentences"), F.array_join("s", "¦").alias("joined"))
 
 
-@query(f"select doc_id, len(p)::int as n_parts, i::int as part, p[i] as piece, {S.tok('p[i]')} as n_tokens from (select doc_id, p, unnest(range(1, len(p) + 1)) as i from (select doc_id, {S.pieces('text')} as p from documents where text is not null))")
+@query(f"select doc_id, len(p)::int as n_parts, i::int as part, p[i] as piece, {S.tok('p[i]')} as n_tokens from (select doc_id, p, unnest(range(1, len(p) + 1)) as i from (select doc_id, {S.pieces("coalesce(text, '')")} as p from documents))")
 def g07_segment_split(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").where("text is not null").withColumn("p", T.split_long(F.col("text")))
-    d = d.select("doc_id", F.size("p").alias("n_parts"), F.posexplode("p").alias("i", "piece"))
+    p = T.let(T.split_long(F.coalesce("text", F.lit(""))), lambda p: F.transform(p, lambda x: F.struct(x.alias("piece"), F.size(p).alias("n_parts"))))
+    d = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(p).alias("i", "p")).select("doc_id", "i", "p.*")
     return d.select("doc_id", "n_parts", (F.col("i") + 1).alias("part"), "piece", T.token_count(F.col("piece")).alias("n_tokens"))
 
 
-@query(f"select doc_id, {S.tok('text')} as n_tokens from documents where text is not null")
+@query(f"select doc_id, {S.tok('text')} as n_tokens from (select doc_id, coalesce(text, '') as text from documents)")
 def g08_token_estimate(spark, sf_dir):
-    return table(spark, sf_dir, "documents").where("text is not null").select("doc_id", T.token_count(F.col("text")).alias("n_tokens"))
+    return table(spark, sf_dir, "documents").select("doc_id", T.token_count(F.coalesce("text", F.lit(""))).alias("n_tokens"))
 
 
 @query(f"with {S.MESSAGES} select arrival as conv_id, idx, {S.speaker('content')} as speaker from msg")
@@ -276,9 +276,9 @@ def g10_rule_flag(spark, sf_dir):
     return deco.messages(spark, sf_dir).select(F.col("arrival").alias("conv_id"), "idx", T.looks_like_rule(F.col("content"), F.col("role")).alias("is_rule"))
 
 
-@query("select conv_id, turn, substring(sha256(role || chr(10) || text), 1, 24) as content_sha from conversations where text is not null")
+@query("select conv_id, turn, substring(sha256(role || chr(10) || coalesce(text, '')), 1, 24) as content_sha from conversations")
 def g11_content_sha(spark, sf_dir):
-    return table(spark, sf_dir, "conversations").where("text is not null").select("conv_id", "turn", T.content_sha(F.col("role"), F.col("text")).alias("content_sha"))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", T.content_sha(F.col("role"), F.coalesce("text", F.lit(""))).alias("content_sha"))
 
 
 _SEG = "user_id, id, session_id, request_id, seq, part, total, role, speaker_name, ts_value, ts_granularity, ts_provenance, text, content_sha, is_rule"
@@ -300,7 +300,7 @@ def g13_embed_dedup(spark, sf_dir):
 # storage --------------------------------------------------------------------------------------------------------------
 
 
-def _stored(spark, sf_dir, stream: bool):
+def _stored(spark, sf_dir, stream: bool, embed=None):
     """Conversations as raw Add lines, through the store in a scratch folder of the shared directory."""
     from ..sources.store import Store, add_lines
     from ..streaming.ingest import add_stream
@@ -315,7 +315,7 @@ def _stored(spark, sf_dir, stream: bool):
         lines.select("value").write.text(f"{base}/in")
         add_stream(spark.readStream.text(f"{base}/in"), store, f"{base}/check").awaitTermination()
     else:
-        add_lines(store, lines, 1)
+        add_lines(store, lines, 1, embed)
     return store
 
 
@@ -351,9 +351,221 @@ def s04_user_scan(spark, sf_dir):
     return I.positions(_stored(spark, sf_dir, False).segments(["u1", "u3"])).select("user_id", "id", "session_id", "seq", "part", "pos")
 
 
-@query("select true as ok")
+@query("select true as ok, 'whole' as state union all select false, 'without a table'")
 def s03_health(spark, sf_dir):
-    return spark.range(1).select(F.lit(True).alias("ok"))
+    """A store, and one whose ledger was lost."""
+    from ..sources.store import Store
+
+    store = Store(spark, new_path(spark, "store"))
+    store.create()
+    whole = store.health().withColumn("state", F.lit("whole"))
+    return whole.unionByName(Store(spark, new_path(spark, "store")).health().withColumn("state", F.lit("without a table")))
+
+
+@query(f"with {S.SEGMENTS} select user_id, id, length(coalesce(speaker_name, role) || ': ' || text)::double as vector from seg where seq = 2")
+def s10_anchor_vectors(spark, sf_dir):
+    from ..sources.store import embedder
+
+    store = _stored(spark, sf_dir, False, embedder(lambda texts: [[float(len(t))] for t in texts], clip=10**9))
+    wanted = deco.segments(spark, sf_dir).where("seq = 2").select("user_id", "id")
+    return store.anchor_vectors(wanted.unionByName(spark.createDataFrame([("u0", "none#1.1")], "user_id string, id string"))).select("user_id", "id", F.col("embedding")[0].cast("double").alias("vector"))
+
+
+@query("select unnest(['requests', 'segments', 'vectors']) as name, unnest([true, true, true]) as found_stale, unnest([0, 0, 0])::bigint as n_rows")
+def s12_stale_schema(spark, sf_dir):
+    """A store whose table notes another schema is stale, and empty after its rebuilding."""
+    out = None
+    for name in ("requests", "segments", "vectors"):
+        store = _stored(spark, sf_dir, False)
+        held = spark.read.parquet(f"{store.path}/schema")
+        changed = held.withColumn("ddl", F.when(F.col("name") == name, F.lit("id string")).otherwise(F.col("ddl"))).collect()  # three rows
+        spark.createDataFrame(changed, held.schema).write.mode("overwrite").parquet(f"{store.path}/schema")
+        stale = store.stale()
+        store.rebuild()
+        row = store.segments().agg(F.count(F.lit(1)).alias("n_rows")).select(F.lit(name).alias("name"), F.lit(stale).alias("found_stale"), "n_rows")
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+@query("select item_id, case when item_id % 10 = 3 then null else length(t)::double end as vector from (select item_id, substring(text, 1, 50) as t from benchmark)")
+def s13_embed_batches(spark, sf_dir):
+    """Texts in batches of one, clipped; those of each tenth item fail at every try."""
+    from ..sources.store import embedder
+
+    def encode(texts):
+        if any(t.startswith("#3#") for t in texts):
+            raise RuntimeError("refused")
+        return [[float(len(t) - 3)] for t in texts]
+
+    d = table(spark, sf_dir, "benchmark").withColumn("embed_text", F.concat(F.lit("#"), (F.col("item_id") % 10).cast("string"), F.lit("#"), "text"))
+    vectors = embedder(encode, batch=1, clip=53, tries=2, wait=0.0)(d.select("embed_text").distinct())
+    return d.join(vectors, "embed_text").select("item_id", F.col("embedding")[0].cast("double").alias("vector"))
+
+
+@query(
+    f"""{S.channel_chain(True)}, qe as (select query_id, list_transform(range(1, 65), lambda i: length(q) / i::double) as vector from qs),
+{S.nearest('near', 'qe')} select query_id, user_id, pos, rank from near"""
+)
+def s14_query_vectors(spark, sf_dir):
+    """Queries embedded by a step like that of the segments, then searched."""
+    from ..sources.store import embedder
+
+    q = CH.prepare_queries(deco.queries(spark))
+    embed = embedder(lambda texts: [[len(t) / i for i in range(1, 65)] for t in texts])
+    v = q.select("query_id", F.col("q").alias("embed_text")).join(embed(q.select(F.col("q").alias("embed_text")).distinct()), "embed_text")
+    v = v.select("query_id", F.transform("embedding", lambda x: x.cast("double")).alias("vector"))
+    return CH.vector(q, v, deco.index(spark, sf_dir, vectors=True)).select("query_id", "user_id", "pos", "rank")
+
+
+@query(
+    """with o as (select conv_id as query_id, turn::int as pos, (row_number() over (partition by conv_id order by turn) - 1)::int as rank, count(*) over (partition by conv_id) as n, length(coalesce(text, ''))::double as len from conversations)
+select query_id, pos, (row_number() over (partition by query_id order by case when query_id % 4 = 0 and n > 1 then -len end, rank) - 1)::int as rank from o"""
+)
+def s15_rerank_scores(spark, sf_dir):
+    """Scores count for one conversation in four; for the others the scorer fails, gives too few or gives no number."""
+    from ..sources.store import reranker
+
+    d = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("query_id"), F.lit("u").alias("user_id"), F.col("turn").cast("int").alias("pos"), F.coalesce("text", F.lit("")).alias("content"))
+    order = FU._rerank(d, F.col("pos")).withColumn("score", F.lit(0.0))
+
+    def score(q, docs):
+        if q == "1":
+            raise RuntimeError("refused")
+        return [float(len(t)) for t in docs] if q == "0" else [1.0] * (len(docs) + 1) if q == "2" else [float("nan")] * len(docs)
+
+    rs = reranker(score)(order.withColumn("q", (F.col("query_id") % 4).cast("string")))
+    return FU.apply_rerank(order.drop("content"), rs).select("query_id", "pos", "rank")
+
+
+# replay files ---------------------------------------------------------------------------------------------------------
+
+
+def _turns(spark, sf_dir):
+    """Conversations as the turns of the replay formats: sessions of four turns, rising."""
+    c = table(spark, sf_dir, "conversations")
+    return c.select("conv_id", "turn", F.floor(F.col("turn") / 4).cast("int").alias("s"), P.normalize_role(F.col("role")).alias("role"), F.coalesce("text", F.lit("")).alias("content"))
+
+
+_TURNS = f"t as (select conv_id, turn, (turn // 4)::int as s, {S.ROLE} as role, coalesce(text, '') as content from conversations)"
+_NOT_BLANK = f"regexp_matches(content, '{S.NOT_WS}')"
+
+
+def _array_file(spark, rows, name):
+    """rows (value), JSON texts, as one JSON array in one file."""
+    path = new_path(spark, name)
+    one = rows.agg(F.concat(F.lit("["), F.array_join(F.collect_list("value"), ","), F.lit("]")).alias("value"))  # the format is one array a file
+    one.coalesce(1).write.text(path)
+    return path
+
+
+def _listed(d, *fields):
+    return F.transform(F.array_sort(F.collect_list(F.struct("turn", F.struct(*fields).alias("t")))), lambda x: x["t"])
+
+
+@query(f"""with {_TURNS} select conv_id::varchar as who, (s + 1)::int as session, case when turn = first_value(turn) over w or role = first_value(role) over w then 'user' else 'assistant' end as role,
+  role || ': ' || content as content, 'D' || turn as ref, (row_number() over w)::int as ord, (1683550560000 + s * 86400000)::double as timestamp_ms from t window w as (partition by conv_id order by turn)""")
+def s16_sessions_json(spark, sf_dir):
+    from ..sources import datasets as D
+
+    t = _turns(spark, sf_dir)
+    s = t.groupBy("conv_id", "s").agg(_listed(t, F.col("role").alias("speaker"), F.col("content").alias("text"), F.concat(F.lit("D"), F.col("turn").cast("string")).alias("dia_id")).alias("turns"))
+    named = F.map_from_entries(F.collect_list(F.struct(F.concat(F.lit("session_"), (F.col("s") + 1).cast("string")), F.to_json("turns"))))
+    dates = F.map_from_entries(F.collect_list(F.struct(F.concat(F.lit("session_"), (F.col("s") + 1).cast("string"), F.lit("_date_time")), F.concat(F.lit('"12:56 pm on '), (F.col("s") + 8).cast("string"), F.lit(' May, 2023"')))))
+    body = F.array_join(F.transform(F.map_entries(F.map_concat("a", "b")), lambda e: F.concat(F.lit('"'), e["key"], F.lit('": '), e["value"])), ", ")
+    c = s.groupBy("conv_id").agg(named.alias("a"), dates.alias("b"))
+    rows = c.select(F.concat(F.lit('{"qa": [{"question": "'), F.col("conv_id").cast("string"), F.lit('", "answer": "x", "category": 1}], "conversation": {'), body, F.lit("}}")).alias("value"))
+    m, q = D.read_sessions_json(spark, _array_file(spark, rows, "sessions"))
+    m = m.join(q.select("conv", F.col("question").alias("who")), "conv")
+    return m.select("who", "session", "role", "content", "ref", F.col("ord").cast("int").alias("ord"), "timestamp_ms")
+
+
+@query(f"""with {_TURNS}, k as (select * from t where {_NOT_BLANK})
+select conv_id::varchar as qid, s as session, 'h' || s as ref, role, content, (row_number() over (partition by conv_id order by turn))::int as ord, turn % 3 = 0 as has_answer from k""")
+def s17_haystack_json(spark, sf_dir):
+    from ..sources import datasets as D
+
+    t = _turns(spark, sf_dir)
+    s = t.groupBy("conv_id", "s").agg(_listed(t, "role", "content", (F.col("turn") % 3 == 0).alias("has_answer")).alias("turns"))
+    one = F.array_sort(F.collect_list(F.struct("s", "turns")))
+    c = s.groupBy("conv_id").agg(one.alias("l"))
+    ids = F.transform("l", lambda x: F.concat(F.lit("h"), x["s"].cast("string")))
+    row = F.struct(
+        F.col("conv_id").cast("string").alias("question_id"), F.lit("q").alias("question"), F.lit("t").alias("question_type"), F.lit("2023/05/30 (Tue) 10:00").alias("question_date"), F.lit("a").alias("answer"), F.slice(ids, 1, 1).alias("answer_session_ids"),
+        ids.alias("haystack_session_ids"), F.transform("l", lambda x: F.lit("2023/05/20 (Sat) 02:21")).alias("haystack_dates"), F.transform("l", lambda x: x["turns"]).alias("haystack_sessions"),
+    )
+    m, q = D.read_haystack_json(spark, _array_file(spark, c.select(F.to_json(row).alias("value")), "haystack"))
+    return m.join(q.select("conv", "qid"), "conv").select("qid", "session", "ref", "role", "content", F.col("ord").cast("int").alias("ord"), "has_answer")
+
+
+@query(f"""with {_TURNS}, k as (select * from t where {_NOT_BLANK} and role in ('user', 'assistant'))
+select conv_id::varchar as conv, s as session, role, content, (row_number() over (partition by conv_id order by turn))::int as ord, case when turn % 2 = 0 then (1710460800000 + s * 86400000)::double end as timestamp_ms from k""")
+def s18_nested_parquet(spark, sf_dir):
+    from ..sources import datasets as D
+
+    t = _turns(spark, sf_dir)
+    anchor = F.when(F.col("turn") % 2 == 0, F.concat(F.lit("March-"), (F.col("s") + 15).cast("string"), F.lit("-2024")))
+    s = t.groupBy("conv_id", "s").agg(_listed(t, "role", "content", anchor.alias("time_anchor")).alias("turns"))
+    c = s.groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("s", "turns"))), lambda x: x["turns"]).alias("chat"))
+    path = new_path(spark, "nested")
+    c.select(F.col("conv_id").cast("string").alias("conversation_id"), "chat", F.lit('{"recall": [{"question": "q", "rubric": ["r"]}]}').alias("probing_questions")).write.parquet(path)
+    m, _ = D.read_nested_parquet(spark, path)
+    return m.select("conv", "session", "role", "content", F.col("ord").cast("int").alias("ord"), "timestamp_ms")
+
+
+@query(f"""with {_TURNS}, i as (select *, row_number() over (partition by conv_id order by turn) - 1 as i from t)
+select 'x' || conv_id || ':2' as conv, case when role = 'system' then 'user' else role end as role, case when role = 'system' then '[System]: ' || content else content end as content,
+  (row_number() over (partition by conv_id order by turn))::int as ord from i where i <= 2 and {_NOT_BLANK} and role in ('user', 'assistant', 'system')""")
+def s19_contexts(spark, sf_dir):
+    from ..sources import datasets as D
+
+    t = _turns(spark, sf_dir)
+    c = t.groupBy("conv_id").agg(_listed(t, "role", "content").alias("turns")).withColumn("id", F.concat(F.lit("x"), F.col("conv_id").cast("string")))
+    lines, questions = new_path(spark, "contexts"), new_path(spark, "questions")
+    c.select(F.concat(F.lit('{"'), "id", F.lit('": '), F.to_json("turns"), F.lit("}")).alias("value")).write.text(lines)
+    ask = c.select(
+        F.col("conv_id").alias("question_id"), F.lit("t").alias("question_type"), F.lit("q").alias("user_question_or_message"), F.lit("['yes', 'no']").alias("all_options"), F.lit("yes").alias("correct_answer"),
+        F.col("id").alias("shared_context_id"), F.lit(2).alias("end_index_in_shared_context"),
+    )
+    ask.write.option("header", True).csv(questions)
+    m, _ = D.read_contexts(spark, questions, lines)
+    return m.select("conv", "role", "content", F.col("ord").cast("int").alias("ord"))
+
+
+@query(f"""with {_TURNS}, k as (select conv_id as query_id, role = 'assistant' as second, '[2024] ' || role || ': ' || content as line, turn from t)
+select query_id, 'user' as speaker_1_name, 'assistant' as speaker_2_name, coalesce(string_agg(line, chr(10) order by turn) filter (not second), '') as speaker_1_memories,
+  coalesce(string_agg(line, chr(10) order by turn) filter (second), '') as speaker_2_memories from k group by query_id""")
+def s20_memories_by_speaker(spark, sf_dir):
+    """The report is written as JSON lines and read again."""
+    from ..sources import datasets as D
+    from ..sources import sinks
+
+    t = _turns(spark, sf_dir)
+    results = t.select(F.col("conv_id").alias("query_id"), F.col("turn").cast("int").alias("place"), F.concat(F.lit("[2024] "), "role", F.lit(": "), "content").alias("content"))
+    path = new_path(spark, "report")
+    sinks.write_jsonl(sinks.memories_by_speaker(results, t.select(F.col("conv_id").alias("query_id")).distinct()), path)
+    return D.read_jsonl(spark, path, "query_id long, speaker_1_name string, speaker_2_name string, speaker_1_memories string, speaker_2_memories string")
+
+
+@query("select doc_id, case when doc_id % 5 = 0 then null else text || chr(8232) || 'x' end as text, lang from documents")
+def s21_jsonl_roundtrip(spark, sf_dir):
+    """Lines end at newlines only: U+2028 within a text, and null fields, come back as they were."""
+    from ..sources import datasets as D
+    from ..sources import sinks
+
+    path = new_path(spark, "lines")
+    sinks.write_jsonl(table(spark, sf_dir, "documents").select("doc_id", F.when(F.col("doc_id") % 5 != 0, F.concat("text", F.lit("\u2028x"))).alias("text"), "lang"), path)
+    return D.read_jsonl(spark, path, "doc_id long, text string, lang string")
+
+
+@query("select doc_id, '{\"doc_id\":' || doc_id || ',\"toxic\":' || case when doc_id % 5 = 0 then 'null' else toxic::varchar end || '}' as line from labels")
+def s22_jsonl_lines(spark, sf_dir):
+    """What stands in the file, null fields included."""
+    from ..sources import sinks
+
+    path = new_path(spark, "lines")
+    sinks.write_jsonl(table(spark, sf_dir, "labels").select("doc_id", F.when(F.col("doc_id") % 5 != 0, F.col("toxic")).alias("toxic")), path)
+    lines = spark.read.option("lineSep", "\n").text(path)
+    return lines.select(F.get_json_object("value", "$.doc_id").cast("long").alias("doc_id"), F.col("value").alias("line"))
 
 
 # index ----------------------------------------------------------------------------------------------------------------
@@ -361,7 +573,7 @@ def s03_health(spark, sf_dir):
 
 @query(f"with {S.ROWS} select user_id, id, pos, session_label from rows_")
 def i01_position_and_label(spark, sf_dir):
-    return I.session_labels(I.positions(deco.segments(spark, sf_dir))).select("user_id", "id", "pos", "session_label")
+    return I.index_rows(deco.segments(spark, sf_dir)).select("user_id", "id", "pos", "session_label")
 
 
 @query(f"with {S.ROWS} select user_id, pos, index_text from rows_")
@@ -393,9 +605,9 @@ def i06_postings(spark, sf_dir):
     return I.postings(I.index_rows(deco.segments(spark, sf_dir))).select("user_id", "pos", "term", "tf", "dl")
 
 
-@query(f"select doc_id, i::int as i, n[i + 1] as name from (select doc_id, n, unnest(range(0, len(n))) as i from (select doc_id, {S.names('text')} as n from documents where text is not null))")
+@query(f"select doc_id, i::int as i, n[i + 1] as name from (select doc_id, n, unnest(range(0, len(n))) as i from (select doc_id, {S.names("coalesce(text, '')")} as n from documents))")
 def i07_extract_names(spark, sf_dir):
-    return table(spark, sf_dir, "documents").where("text is not null").select("doc_id", F.posexplode(T.names(F.col("text"))).alias("i", "name"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(T.names(F.coalesce("text", F.lit("")))).alias("i", "name"))
 
 
 @query(f"with {S.ROWS}, {S.ENTITIES} select user_id, pos, i::int as i, name from nm")
@@ -454,13 +666,24 @@ def i16_session_labels(spark, sf_dir):
     return rows.groupBy("user_id", "session_id").agg(F.first("session_label").alias("session_label"), F.count(F.lit(1)).alias("n"))
 
 
-@query(f"with {S.BM25} select (select count(*) from rows_) as n_rows, (select count(*) from post) as n_postings, (select count(*) from terms) as n_terms")
+@query(
+    f"""with {S.BM25}, p as (select post.user_id, post.pos, post.term, tf, dl, df, idf from post join terms using (user_id, term))
+select user_id, term, count(*) as n_rows, sum(tf)::bigint as tf, sum(dl)::bigint as dl, sum(pos)::bigint as pos, any_value(df) as df, round(any_value(idf), 6) + 0.0 as idf from p group by user_id, term"""
+)
 def i17_index_roundtrip(spark, sf_dir):
+    """Written under a version, found again by it, and rebuilt for another one from other segments (none)."""
     path = new_path(spark, "index")
-    deco.index(spark, sf_dir).write(path)
-    back = I.Index.read(spark, path, vectors=False)
-    count = lambda d, n: d.agg(F.count(F.lit(1)).alias(n))
-    return count(back.rows, "n_rows").crossJoin(count(back.postings, "n_postings")).crossJoin(count(back.terms, "n_terms"))  # one row each
+    build = lambda: deco.segments(spark, sf_dir)
+    I.Index.current(spark, path, "a", build, vectors=False)
+    I.Index.current(spark, path, "b", lambda: build().limit(0), vectors=False)
+
+    def fails():
+        raise ValueError("an index of this version is there")
+
+    back = I.Index.current(spark, path, "a", fails, vectors=False)
+    d = back.postings.join(back.terms.select("user_id", "term", "df", "idf"), ["user_id", "term"])
+    total = lambda c: F.sum(c).cast("long").alias(c)
+    return d.groupBy("user_id", "term").agg(F.count(F.lit(1)).alias("n_rows"), total("tf"), total("dl"), total("pos"), F.first("df").alias("df"), (F.round(F.first("idf"), 6) + 0.0).alias("idf"))
 
 
 # query analysis -------------------------------------------------------------------------------------------------------
@@ -731,22 +954,19 @@ def e01_platform_chunks(spark, sf_dir):
 
 _KNN = """with d as (select q.vec_id as query_id, q.label as gold, e.vec_id as item, e.label,
   round(1 - list_dot_product(q.embedding::double[], e.embedding::double[]) / nullif(sqrt(list_dot_product(q.embedding::double[], q.embedding::double[])) * sqrt(list_dot_product(e.embedding::double[], e.embedding::double[])), 0), 12) as dist
-  from embeddings q, embeddings e where q.vec_id < 20 and q.vec_id <> e.vec_id),
+  from embeddings q, embeddings e where q.vec_id % 20 = 0 and q.vec_id <> e.vec_id),
 res as (select query_id, item, place from (select *, row_number() over (partition by query_id order by dist, item) - 1 as place from d where dist is not null) where place < 100),
-gold as (select q.vec_id as query_id, e.vec_id as item from embeddings q join embeddings e on q.label = e.label and q.vec_id <> e.vec_id and e.vec_id % 7 = q.vec_id % 7 where q.vec_id < 20),
+gold as (select q.vec_id as query_id, e.vec_id as item from embeddings q join embeddings e on q.label = e.label and q.vec_id <> e.vec_id where q.vec_id % 20 = 0),
 hits as (select query_id, count(*) as n_gold, """ + ", ".join(f"count(place) filter (place < {k}) > 0 as any_{k}, count(place) filter (place < {k}) = count(*) as all_{k}" for k in E.KS) + " from gold left join res using (query_id, item) group by query_id)"
 
 
 def _knn(spark, sf_dir):
-    """Nearest neighbours of the first 20 vectors (a stated query set) among all others; gold is the same label and residue."""
-    from pyspark.sql import Window as W
-
+    """Nearest neighbours of every vector whose id is divisible by 20 among all others; gold is every other row of its label."""
     e = table(spark, sf_dir, "embeddings")
-    q = e.where("vec_id < 20").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("v"), F.col("label").alias("ql"))
-    d = e.join(F.broadcast(q), F.col("vec_id") != F.col("query_id")).withColumn("dist", F.round(CH.cosine_distance(F.col("v"), F.col("embedding")), 12))  # 20 rows at most
-    place = (F.row_number().over(W.partitionBy("query_id").orderBy("dist", "vec_id")) - 1).cast("int")
-    results = d.where("dist is not null").withColumn("place", place).where("place < 100").select("query_id", F.col("vec_id").alias("item"), "place")
-    gold = e.join(F.broadcast(q), (F.col("ql") == F.col("label")) & (F.col("vec_id") != F.col("query_id")) & (F.col("vec_id") % 7 == F.col("query_id") % 7)).select("query_id", F.col("vec_id").alias("item"))
+    q = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"), "label")
+    items = e.select(F.col("vec_id").alias("item"), "embedding", "label")
+    results = E.nearest(q.select("query_id", "vector"), items.select("item", "embedding"), 100)
+    gold = q.select("query_id", "label").join(items.select("item", "label"), "label").where("query_id <> item").select("query_id", "item")
     return results, gold
 
 
@@ -826,7 +1046,37 @@ def e10_manifest_groups(spark, sf_dir):
     return E.manifest_groups(deco.segments(spark, sf_dir))
 
 
-_CONFIG = [(k, str(v)) for k, v in sorted(E.effective_config().items()) if isinstance(v, int | float)]
+#: The numbers of the contract, written out here so that a changed constant shows.
+_CONFIG = [
+    ("B", "0.75"),
+    ("BUDGET_TOKENS", "60000"),
+    ("CHANNEL_MULTIPLE", "2"),
+    ("DATE_RADIUS", "3"),
+    ("EMBED_BATCH", "10"),
+    ("EMBED_CLIP", "6000"),
+    ("EMBED_DIM", "1024"),
+    ("EPSILON", "0.25"),
+    ("HOP_ANCHORS", "5"),
+    ("HOP_QUERY_WEIGHT", "0.6"),
+    ("HOP_RESERVE", "20"),
+    ("HOP_TERMS", "8"),
+    ("HOP_WEIGHT", "0.6"),
+    ("K1", "1.5"),
+    ("MAX_TS_MS", "253402214400000"),
+    ("NEIGHBOR_AFTER", "20"),
+    ("NEIGHBOR_ANCHORS", "10"),
+    ("NEIGHBOR_RADIUS", "1"),
+    ("NEIGHBOR_RATIO", "0.05"),
+    ("RERANK_MIX", "1.0"),
+    ("RERANK_WINDOW", "200"),
+    ("RRF_K", "60"),
+    ("RULE_AFTER", "10"),
+    ("RULE_MAX_CHARS", "400"),
+    ("RULE_SLOT", "8"),
+    ("SEGMENT_MAX_TOKENS", "350"),
+    ("TOP_K_CAP", "100"),
+    ("VIRTUAL_RANK", "4"),
+]
 
 
 @query(f"select * from (values {sql_values(_CONFIG)}) as t(name, value)")

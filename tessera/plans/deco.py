@@ -66,18 +66,17 @@ def segments_with_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.join(emb.select("vec_id", "embedding"), "vec_id", "left").drop("vec_id")
 
 
-_indexes: dict[tuple[str, str, bool], str] = {}
+_indexes: dict[tuple[str, str], str] = {}
 
 
 def index(spark: SparkSession, sf_dir: str, vectors: bool = False) -> I.Index:
-    """The index of the decorated conversations, written once for each application and input and then read."""
-    key = (spark.sparkContext.applicationId, sf_dir, vectors)
+    """The index of the decorated conversations, with vectors, written once for each application and state of the input and
+    then read (I17)."""
+    key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _indexes:
-        path = new_path(spark, "index")
-        seg = cut((segments_with_vectors if vectors else segments)(spark, sf_dir), "segments")
-        I.build_index(seg).write(path)
-        _indexes[key] = path
-    return I.Index.read(spark, _indexes[key], vectors)
+        _indexes[key] = new_path(spark, "index")
+    version = "+".join(I.version_of(table(spark, sf_dir, t)) for t in ("conversations", "embeddings"))
+    return I.Index.current(spark, _indexes[key], version, lambda: cut(segments_with_vectors(spark, sf_dir), "segments"), vectors)
 
 
 def queries(spark: SparkSession) -> DataFrame:

@@ -32,7 +32,7 @@ def event_stream(events: DataFrame, checkpoint: str, sink: Callable[[DataFrame,
     return events.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def backfill_all(store: Store, embed: Callable[[DataFrame], DataFrame], first_batch: int, limit: int = 500) -> int:
+def backfill_all(store: Store, embed: Callable[[DataFrame], DataFrame], first_batch: int, limit: int | None = None) -> int:
     """Rounds of Store.backfill until one stores nothing; the number of vectors stored. The first batch must be higher than
     those of the vectors stored so far."""
     total = 0
