@@ -67,6 +67,23 @@ CONTENTS = [
 ]
 
 
+#: JSON made of each turn's text, its letters kept to ASCII: a string, a list of a string and a block, or a number.
+_RAW_TEXT = "regexp_replace(coalesce(text, ''), '[^A-Za-z0-9 .,!?]', ' ', 'g')"
+_RAW = f"select 1000 + conv_id * 100 + turn, case turn % 3 when 0 then '\"' || {_RAW_TEXT} || '\"' when 1 then '[\"' || {_RAW_TEXT} || '\",{{\"text\":\"' || {_RAW_TEXT} || '\",\"type\":\"text\"}}]' else conv_id::varchar end from conversations"
+
+
+def raw_sql(cases: list) -> str:
+    """v (i, raw): the written cases, and the conversations as JSON."""
+    return f"v as (select i::bigint as i, raw from (values {sql_values(cases)}) as l(i, raw) union all {_RAW})"
+
+
+def raw_json(spark: SparkSession, sf_dir: str, cases: list) -> DataFrame:
+    t, turn = F.regexp_replace(F.coalesce("text", F.lit("")), "[^A-Za-z0-9 .,!?]", " "), F.col("turn") % 3
+    block = F.concat(F.lit('["'), t, F.lit('",{"text":"'), t, F.lit('","type":"text"}]'))
+    raw = F.when(turn == 0, F.concat(F.lit('"'), t, F.lit('"'))).when(turn == 1, block).otherwise(F.col("conv_id").cast("string"))
+    return values(spark, cases, "i long, raw string").unionByName(table(spark, sf_dir, "conversations").select((1000 + F.col("conv_id") * 100 + F.col("turn")).alias("i"), raw.alias("raw")))
+
+
 def _items(j: str) -> str:
     return f"(case when json_type({j}) = 'ARRAY' then json_extract({j}, '$[*]') else [] end)"
 
@@ -84,9 +101,9 @@ def content_sql(j: str) -> str:
     )
 
 
-@query(f"with v(i, raw) as (values {sql_values(CONTENTS)}) select i, {content_sql('j')} as content from (select i::bigint as i, raw::json as j from v)")
+@query(f"with {raw_sql(CONTENTS)} select i, {content_sql('j')} as content from (select i::bigint as i, raw::json as j from v)")
 def p02_content_to_text(spark, sf_dir):
-    return values(spark, CONTENTS, "i long, raw string").select("i", P.content_to_text(F.parse_json("raw")).alias("content"))
+    return raw_json(spark, sf_dir, CONTENTS).select("i", P.content_to_text(F.parse_json("raw")).alias("content"))
 
 
 @query("select page_id, length(replace(html, chr(0), ''))::bigint as n_chars, html as content from pages where html is not null")
@@ -139,25 +156,25 @@ def p06_date_string_parse(spark, sf_dir):
 IDS = [(1, '"u1"'), (2, "12"), (3, "true"), (4, "null"), (5, '"a\\u0000b"'), (6, '""'), (7, "[1]"), (8, "1.5")]
 
 
-@query(f"with v(i, raw) as (values {sql_values(IDS)}) select i::bigint as i, case when i = 5 then null when json_type(raw) in ('VARCHAR', 'BIGINT', 'UBIGINT', 'DOUBLE') then raw::json->>'$' end as id from v")
+@query(f"with {raw_sql(IDS)} select i::bigint as i, case when i = 5 then null when json_type(raw) in ('VARCHAR', 'BIGINT', 'UBIGINT', 'DOUBLE') then raw::json->>'$' end as id from v")
 def p07_check_id(spark, sf_dir):
-    return values(spark, IDS, "i long, raw string").select("i", P.check_id(F.parse_json("raw")).alias("id"))
+    return raw_json(spark, sf_dir, IDS).select("i", P.check_id(F.parse_json("raw")).alias("id"))
 
 
 LISTS = [(1, "null"), (2, '"hi"'), (3, '[null,"a",{"role":"user"}]'), (4, '{"role":"user"}'), (5, "7"), (6, "[]"), (7, "true")]
 
 
-@query(f"with v(i, raw) as (values {sql_values(LISTS)}) select i::bigint as i, case json_type(raw) when 'ARRAY' then len(list_filter(json_extract(raw, '$[*]'), lambda e: json_type(e) <> 'NULL')) when 'NULL' then 0 when 'BOOLEAN' then 0 else 1 end::int as n from v")
+@query(f"with {raw_sql(LISTS)} select i::bigint as i, case json_type(raw) when 'ARRAY' then len(list_filter(json_extract(raw, '$[*]'), lambda e: json_type(e) <> 'NULL')) when 'NULL' then 0 when 'BOOLEAN' then 0 else 1 end::int as n from v")
 def p08_messages_coerce(spark, sf_dir):
-    return values(spark, LISTS, "i long, raw string").select("i", F.size(P.messages(F.parse_json("raw"))).alias("n"))
+    return raw_json(spark, sf_dir, LISTS).select("i", F.size(P.messages(F.parse_json("raw"))).alias("n"))
 
 
 ASKED = [(1, "null"), (2, '"who"'), (3, '{"a":1}'), (4, "5"), (5, "true"), (6, '["x",1]')]
 
 
-@query(f"with v(i, raw) as (values {sql_values(ASKED)}) select i::bigint as i, case json_type(raw) when 'NULL' then '' when 'VARCHAR' then raw::json->>'$' when 'BOOLEAN' then 'True' else raw::json::varchar end as q from v")
+@query(f"with {raw_sql(ASKED)} select i::bigint as i, case json_type(raw) when 'NULL' then '' when 'VARCHAR' then raw::json->>'$' when 'BOOLEAN' then 'True' else raw::json::varchar end as q from v")
 def p09_query_coerce(spark, sf_dir):
-    return values(spark, ASKED, "i long, raw string").select("i", P.query_text(F.parse_json("raw")).alias("q"))
+    return raw_json(spark, sf_dir, ASKED).select("i", P.query_text(F.parse_json("raw")).alias("q"))
 
 
 TOPS = [(1, "true", 1), (2, "5.0", 5), (3, '"10"', 10), (4, "250", 100), (5, "0", 100), (6, '"lots"', 100), (7, "null", 100), (8, '"7.9"', 7), (9, "-3", 100), (10, "[3]", 100)]
@@ -171,10 +188,10 @@ def p10_topk_coerce(spark, sf_dir):
 OPTIONS = [(1, "null"), (2, '"a"'), (3, '["a",null,2,{"b":1}]'), (4, "3"), (5, "[]")]
 
 
-@query(f"with v(i, raw) as (values {sql_values(OPTIONS)}) select i::bigint as i, case json_type(raw) when 'NULL' then null when 'ARRAY' then array_to_string(list_transform(list_filter(json_extract(raw, '$[*]'), lambda e: json_type(e) <> 'NULL'), lambda e: e->>'$'), '|') else raw::json->>'$' end as opts from v")
+@query(f"with {raw_sql(OPTIONS)} select i::bigint as i, case json_type(raw) when 'NULL' then null when 'ARRAY' then array_to_string(list_transform(list_filter(json_extract(raw, '$[*]'), lambda e: json_type(e) <> 'NULL'), lambda e: e->>'$'), '|') else raw::json->>'$' end as opts from v")
 def p11_options_coerce(spark, sf_dir):
     o = P.options(F.parse_json("raw"))
-    return values(spark, OPTIONS, "i long, raw string").select("i", F.when(o.isNotNull(), F.array_join(o, "|")).alias("opts"))
+    return raw_json(spark, sf_dir, OPTIONS).select("i", F.when(o.isNotNull(), F.array_join(o, "|")).alias("opts"))
 
 
 @query(f"with {S.SEGMENTS} select id, user_id, coalesce(speaker_name, role) || ': ' || text as embed_text from seg")
@@ -697,23 +714,28 @@ ASK = [
 _ASK = [(i, q) for i, q in enumerate(ASK)]
 
 
-def _asked(spark):
-    return values(spark, _ASK, "i long, q string")
+#: The written questions, and the text of every turn.
+_ASKED = f"v as (select i::bigint as i, q from (values {sql_values(_ASK)}) as l(i, q) union all select 1000 + conv_id * 100 + turn, coalesce(text, '') from conversations)"
+
+
+def _asked(spark, sf_dir):
+    said = table(spark, sf_dir, "conversations").select((1000 + F.col("conv_id") * 100 + F.col("turn")).alias("i"), F.coalesce("text", F.lit("")).alias("q"))
+    return values(spark, _ASK, "i long, q string").unionByName(said)
 
 
-@query(f"with v(i, q) as (values {sql_values(_ASK)}) select i::bigint as i, {S.intent('q')} as intent from v")
+@query(f"with {_ASKED} select i::bigint as i, {S.intent('q')} as intent from v")
 def q01_intent_route(spark, sf_dir):
-    return _asked(spark).select("i", T.intent(F.col("q")).alias("intent"))
+    return _asked(spark, sf_dir).select("i", T.intent(F.col("q")).alias("intent"))
 
 
-@query(f"with v(i, q) as (values {sql_values(_ASK)}) select i::bigint as i, {S.is_aggregate('q')} as aggregate_type from v")
+@query(f"with {_ASKED} select i::bigint as i, {S.is_aggregate('q')} as aggregate_type from v")
 def q02_aggregate_type(spark, sf_dir):
-    return _asked(spark).select("i", T.is_aggregate(F.col("q")).alias("aggregate_type"))
+    return _asked(spark, sf_dir).select("i", T.is_aggregate(F.col("q")).alias("aggregate_type"))
 
 
-@query(f"with v(i, q) as (values {sql_values(_ASK)}) select i::bigint as i, {S.is_task('q')} as is_task from v")
+@query(f"with {_ASKED} select i::bigint as i, {S.is_task('q')} as is_task from v")
 def q03_task_request(spark, sf_dir):
-    return _asked(spark).select("i", T.is_task_request(F.col("q")).alias("is_task"))
+    return _asked(spark, sf_dir).select("i", T.is_task_request(F.col("q")).alias("is_task"))
 
 
 @query(f"with {S.QUERIES.strip()} select query_id, q, intent, is_task, is_aggregate, k, n from qs")
@@ -721,15 +743,15 @@ def q04_query_expansion(spark, sf_dir):
     return CH.prepare_queries(deco.queries(spark)).select("query_id", "q", "intent", "is_task", "is_aggregate", "k", "n")
 
 
-@query(f"with v(i, q) as (values {sql_values(_ASK)}) select i::bigint as i, array_to_string({S.literal_terms('q')}, '|') as terms from v")
+@query(f"with {_ASKED} select i::bigint as i, array_to_string({S.literal_terms('q')}, '|') as terms from v")
 def q05_literal_terms(spark, sf_dir):
-    return _asked(spark).select("i", F.array_join(T.literal_terms(F.col("q")), "|").alias("terms"))
+    return _asked(spark, sf_dir).select("i", F.array_join(T.literal_terms(F.col("q")), "|").alias("terms"))
 
 
-@query(f"with v(i, q) as (values {sql_values(_ASK)}) select i::bigint as i, array_to_string(list_transform({S.days('q')}, lambda d: strftime(d, '%Y-%m-%d')), '|') as days, array_to_string({S.months('q')}, '|') as months from v")
+@query(f"with {_ASKED} select i::bigint as i, array_to_string(list_transform({S.days('q')}, lambda d: strftime(d, '%Y-%m-%d')), '|') as days, array_to_string({S.months('q')}, '|') as months from v")
 def q06_extract_dates(spark, sf_dir):
     days = F.transform(T.query_days(F.col("q")), lambda d: F.date_format(d, "yyyy-MM-dd"))
-    return _asked(spark).select("i", F.array_join(days, "|").alias("days"), F.array_join(T.query_months(F.col("q")), "|").alias("months"))
+    return _asked(spark, sf_dir).select("i", F.array_join(days, "|").alias("days"), F.array_join(T.query_months(F.col("q")), "|").alias("months"))
 
 
 MONTH_NAMES = [(m[:n].upper() if k % 2 else m[:n],) for k, m in enumerate(C.MONTHS) for n in (3, 9)]
