@@ -329,7 +329,8 @@ def _stars(meetings: DataFrame) -> DataFrame:
     band = F.floor(F.log(F.col("n").cast("double")) / F.lit(float(np.log(4 / 3)))).cast("int")
     rows = meetings.withColumn("band", band)
     hubs = rows.groupBy("g", "band").agg(F.max(F.struct("score", "d")).alias("top"), F.count(F.lit(1)).alias("k")).where("k > 1")
-    met = rows.join(hubs.select("g", "band", F.col("top.d").alias("lead")), ["g", "band"]).where("lead <> d")
+    hubs = cut(hubs.select("g", "band", F.col("top.d").alias("lead")), "hubs")  # the join then has exchanges of its own, which can be split at hot names
+    met = rows.join(hubs, ["g", "band"]).where("lead <> d")
     met = met.groupBy("d", "lead").agg(F.count(F.lit(1)).alias("c"))
     return met.groupBy(F.col("d").alias("b")).agg(F.max_by("lead", F.struct("c", "lead")).alias("a")).select("a", "b")
 
@@ -393,7 +394,7 @@ def _units(meetings: DataFrame, components: DataFrame) -> DataFrame:
     members = cut(members.withColumn("band", band), "members")
     parts = members.groupBy("component", "band").agg(F.ceil(F.sum("n") / F.lit(UNIT_NAMES)).cast("int").alias("parts"), F.sum("n").alias("size"))
     unit = F.xxhash64("component", "band", F.pmod(F.hash("d"), "parts"))
-    return members.join(parts, ["component", "band"]).select("d", "component", unit.alias("u"), F.floor(F.col("size") / F.col("parts")).alias("size"))
+    return members.join(cut(parts, "parts"), ["component", "band"]).select("d", "component", unit.alias("u"), F.floor(F.col("size") / F.col("parts")).alias("size"))
 
 
 def _unit_pairs(meetings: DataFrame, units: DataFrame, percent: int) -> DataFrame:
@@ -529,7 +530,7 @@ def _found(docs: DataFrame, id_col: str, text_col: str, size: int, percent: int)
 
     known = classes.select("d0", "d1", "least").join(nodes, "d0", "left").withColumn("component", F.coalesce("component", "d0"))
     known = cut(known, "classes")
-    least = known.groupBy("component").agg(F.min("least").alias("component_id"))
+    least = cut(known.groupBy("component").agg(F.min("least").alias("component_id")), "least")  # a join with exchanges of its own can be split
     named = known.join(least, "component").select(F.col("d0"), F.col("d1"), "component_id", "component")
     out = each.where("n > 0").join(named, ["d0", "d1"]).select("doc_id", "th", F.col("n").alias("n_shingles"), "component_id", "component")
     return out.unionByName(each.where("n = 0").select("doc_id", "th", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(None).cast("long").alias("component")))

@@ -166,10 +166,11 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     # rank the grams; the surroundings of those that are not unique decide which anchors are settled and which stay open
     marks = rows.where(F.octet_length("body") >= length).mapInArrow(find, f"doc_id {kind}, h long, g long, u long, a long, lo long, hi long")
     marks = cut(marks, "anchors")
-    twice = marks.groupBy("g").agg(F.count(F.lit(1)).alias("gn")).where("gn > 1").select("g")
+    # counts are written before they are joined: the join then has exchanges of its own, which adaptive execution splits at hot names
+    twice = cut(marks.groupBy("g").agg(F.count(F.lit(1)).alias("gn")).where("gn > 1").select("g"), "twice")
     marks = cut(marks.join(twice, "g", "left_semi"), "shared")
     kinds = cut(marks.groupBy("g", "u").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "h", "a", "lo", "hi")).alias("one")), "kinds")
-    several = kinds.groupBy("g").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("g")
+    several = cut(kinds.groupBy("g").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("g"), "several")
     settled = marks.join(kinds.where("n > 1").select("g", "u"), ["g", "u"], "left_semi").select("doc_id", "h", "lo", "hi")
     open_ = kinds.join(several, "g", "left_semi").select("g", "one.*")
     settled = cut(settled, "settled")
@@ -202,7 +203,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     named = cut(some.mapInArrow(groups, f"doc_id {kind}, h long, c long, w long, lo long, hi long"), "groups")
     kinds2 = named.groupBy("c", "w").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "h", "lo", "hi")).alias("one"))
     kinds2 = cut(kinds2, "kinds")
-    several2 = kinds2.groupBy("c").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("c")
+    several2 = cut(kinds2.groupBy("c").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("c"), "several")
     settled2 = named.join(kinds2.where("n > 1").select("c", "w"), ["c", "w"], "left_semi").select("doc_id", "h", "lo", "hi")
     left = kinds2.join(several2, "c", "left_semi").select("c", "one.*").groupBy("doc_id", "h").agg(F.collect_list(F.struct("c", "lo", "hi")).alias("todo"))
     left = left.withColumnRenamed("doc_id", "w").withColumnRenamed("h", "wh")
@@ -217,7 +218,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     last = texts.where("open is not null").select("doc_id", "h", "body").distinct().join(left, F.expr(_ON))
     single = cut(last.select("doc_id", "h", "body", "todo").mapInArrow(windows, f"doc_id {kind}, h long, c long, w long, lo long"), "windows")
-    twice = single.groupBy("c", "w").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("c", "w")
+    twice = cut(single.groupBy("c", "w").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("c", "w"), "twice")
     settled3 = single.join(twice, ["c", "w"], "left_semi").select("doc_id", "h", "lo", F.col("lo").alias("hi"))
     spans = settled.unionByName(settled2).unionByName(settled3).select("doc_id", "h", "lo", (F.col("hi") + length).alias("hi"))
     return texts.select("doc_id", "h", "body"), spans
