@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -34,6 +35,23 @@ def raw(text: str | Column) -> Column:
 TEXTS = 256
 
 
+def give_back() -> None:
+    """Return freed memory to the system, which an idle Python worker would keep otherwise."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # not this C library
+        pass
+
+
+def slices(batches: Iterator[pa.RecordBatch], size: int = TEXTS) -> Iterator[pa.RecordBatch]:
+    """Batches in parts of a few rows, so that a worker's objects are those of a part; memory is given back at the end."""
+    for batch in batches:
+        for at in range(0, len(batch), size):
+            yield batch.slice(at, size)
+    give_back()
+
+
 def each(column: pa.Array, size: int = TEXTS) -> Iterator:
     """The values of a column as Python objects, made a few at a time."""
     for at in range(0, len(column), size):

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import each, empty_if_null
+from .common import each, empty_if_null, slices
 
 MAX_TRAIN = 3000
 #: Lower bounds of the bins of each line feature; the first bin holds what lies below all bounds.
@@ -231,7 +231,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     rows = rows.withColumn("__h", F.xxhash64("__t")).orderBy("__h", "__id").limit(max_train).drop("__h")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             found = [line_bins(t) for t in each(batch.column("__t"))]
             yield pa.RecordBatch.from_pydict(
                 {"__id": batch.column("__id"), "y": batch.column("__y"), "bins": pa.array([b.astype(np.uint8).tobytes() for b, _ in found], pa.binary()), "size": pa.array([s.astype("<i4").tobytes() for _, s in found], pa.binary())}
@@ -248,7 +248,7 @@ def score_quality(docs: DataFrame, model: LineModel, id_col: str = "doc_id", tex
     rows = docs.select(F.col(id_col).alias("doc_id"), held_out(id_col).alias("held_out"), empty_if_null(text_col).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             s = [model.score(t) for t in each(batch.column(2))]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(s, pa.float64()), pa.array([int(x >= 0.5) for x in s], pa.int32())], ["doc_id", "held_out", "score", "predicted"])
 
@@ -260,7 +260,7 @@ def keep_good(docs: DataFrame, model: LineModel, text_col: str = "text") -> Data
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             good = [model.score(t or "") >= 0.5 for t in each(batch.column(at))]
             yield batch.filter(pa.array(good, pa.bool_()))
 

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import TEXTS, cut, each, free_name, may_hold, raw, row_filter
+from .common import TEXTS, cut, each, free_name, give_back, may_hold, raw, row_filter, slices
 from .components import connected_components
 
 SHINGLE, PERCENT = 5, 75
@@ -186,12 +186,6 @@ class Trie:
 ROWS = 1 << 18
 
 
-def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for at in range(0, len(batch), TEXTS):
-            yield batch.slice(at, TEXTS)
-
-
 def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(np.ascontiguousarray(x).view(np.int64))
 
@@ -212,24 +206,24 @@ def _first_pass(docs: DataFrame, size: int) -> DataFrame:
 
         columns = ["doc_id", "th", "n", "d0", "d1", "g", "c"]
         kind = None
-        for batch in batches:
+        seen: set[int] = set()
+        for batch in slices(batches):
             kind = batch.schema.field(0).type
             n, d0, d1 = [], [], []
-            seen = set()
             for body in each(batch.column(2)):
                 names = shingles(body, size)
                 a, b = digest(names)
                 n.append(len(names))
                 d0.append(a)
                 d1.append(b)
-                if a not in seen:  # equal sets count once in a batch
+                if a not in seen:  # equal sets count once in a block
                     seen.add(a)
                     held.append(names)
                     count += len(names)
                 if count >= BLOCK:
                     if (out := repeated()) is not None:
                         yield out
-                    held, count = [], 0
+                    held, count, seen = [], 0, set()
             none = pa.nulls(len(n), pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(d0, pa.int64()), pa.array(d1, pa.int64()), none, none], columns)
         if held and (out := repeated()) is not None:
@@ -250,7 +244,7 @@ def _parts(docs: DataFrame, order: Order, size: int, percent: int) -> DataFrame:
         def out() -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([_signed(np.concatenate(g)), pa.array(np.concatenate(d)), pa.array(np.concatenate(n)), pa.array(np.concatenate(p))], ["g", "d", "n", "p"])
 
-        for batch in batches:
+        for batch in slices(batches):
             for body in each(batch.column(2)):
                 names = shingles(body, size)
                 if not len(names) or (key := digest(names)[0]) in seen:
@@ -313,6 +307,7 @@ def _meetings(parts: DataFrame, percent: int) -> DataFrame:
             keep[:-1] = False
             if keep.any():
                 yield pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in rest], ["g", "d", "n", "p"])
+        give_back()
 
     def fitting(rows: list[np.ndarray]) -> np.ndarray:
         g, n = rows[0], rows[2].astype(np.int64)
@@ -357,7 +352,7 @@ def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lead, probe = None, None
-        for batch in _slices(batches):
+        for batch in slices(batches):
             a, b, kind = (batch.column(k).to_pylist() for k in (0, 1, 3))
             names = [np.frombuffer(x, dtype="<u8") for x in batch.column(2).to_pylist()]
             out: list[tuple[int, int]] = []
@@ -442,6 +437,7 @@ def _unit_pairs(meetings: DataFrame, units: DataFrame, percent: int) -> DataFram
                         held, count = [], 0
         if held:
             yield counted()
+        give_back()
 
     found = rows.repartition("g").select("g", "lo", "hi", "u", "component", "p", "size").sortWithinPartitions("g", "lo", "u")
     found = found.mapInArrow(run, "a long, b long, least long, c long")
@@ -454,7 +450,7 @@ def _joined(pairs: DataFrame, units: DataFrame, sets: DataFrame, percent: int) -
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, trie, held, done = None, None, [], set()
-        for batch in _slices(batches):
+        for batch in slices(batches):
             a, salt, kind, d, component = (batch.column(k).to_pylist() for k in range(5))
             names = [np.frombuffer(x, dtype="<u8") for x in batch.column(5).to_pylist()]
             out: list[tuple[int, int]] = []
@@ -518,6 +514,7 @@ def _found(docs: DataFrame, id_col: str, text_col: str, size: int, percent: int)
             for lo in range(0, len(hit), TEXTS):
                 sets = [shingles(body, size) for body in batch.column(1).take(pa.array(hit[lo : lo + TEXTS])).to_pylist()]
                 yield pa.RecordBatch.from_arrays([pa.array([digest(x)[0] for x in sets], pa.int64()), pa.array([order.sort(x).astype("<u8").tobytes() for x in sets], pa.binary())], ["d", "names"])
+        give_back()
 
     sets = rows.select("th", "body").mapInArrow(ordered, "d long, names binary").join(open_.select("d"), "d", "left_semi")
     sets = cut(sets.dropDuplicates(["d"]), "ordered")

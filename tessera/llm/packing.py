@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import each, empty_if_null
+from .common import each, empty_if_null, slices
 from .tokens import default_path, encoder
 
 WINDOW = 4096
@@ -136,7 +136,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokeni
             return pa.RecordBatch.from_pydict(columns)
 
         kind = None
-        for batch in batches:
+        for batch in slices(batches):
             kind = batch.schema.field(0).type
             for key, text in zip(each(batch.column(0)), each(batch.column(1))):
                 ids = np.r_[enc.encode(text), np.uint32(end_id)]

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import gbt
-from .common import each, empty_if_null
+from .common import each, empty_if_null, slices
 
 BASE = ("email", "ip", "card", "phone")
 #: Kinds that only the trees add.
@@ -257,7 +257,7 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mo
     rows = docs.select(F.col(id_col).alias("doc_id"), empty_if_null(text_col).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             out = {k: [] for k in ("n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "redacted")}
             for text in each(batch.column(1)):
                 base = base_spans(text)

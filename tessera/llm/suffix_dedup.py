@@ -29,14 +29,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, raw
+from .common import cut, raw, slices
 from .exact_dedup import _ranked
 
 LENGTH = 400
 GRAM = 100
 GROUP = 16
 #: Windows of a text that are processed at a time.
-PIECE = 1 << 20
+PIECE = 1 << 18
 _M = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93)]
 _VALUE = np.random.default_rng(5).integers(0, 2**64, 256, dtype=np.uint64)
 
@@ -155,7 +155,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     kind = dict(rows.dtypes)["doc_id"]
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             found = [anchors(b, length, gram) for b in batch.column(2).to_pylist()]
             which = np.repeat(np.arange(len(found)), [len(f[0]) for f in found])
             if not len(which):
@@ -181,7 +181,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     texts = cut(texts.select("doc_id", "h", "body", "open"), "texts")
 
     def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             for k, (body, todo) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())):
                 out = []
                 data = np.frombuffer(body, dtype=np.uint8)
@@ -209,7 +209,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     left = left.withColumnRenamed("doc_id", "w").withColumnRenamed("h", "wh")
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             for k, (body, todo) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())):
                 data = np.frombuffer(body, dtype=np.uint8)
                 at = np.concatenate([np.arange(t["lo"], t["hi"] + 1) for t in todo])
@@ -254,7 +254,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     hit = texts.distinct().join(merged, F.expr(_ON)).select("doc_id", "h", "body", "spans")
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             removed, runs, digests, kept = [], [], [], []
             for body, found in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
                 gone = covered([(s["lo"], s["hi"]) for s in found])

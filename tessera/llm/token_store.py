@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut, each, empty_if_null, new_path
+from .common import cut, each, empty_if_null, new_path, slices
 from .tokens import default_path, encoder
 
 MAGIC = b"TOKSHRD2"
@@ -227,7 +227,7 @@ def write_tokens(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col:
                 {"part": [part], "number": [number], "uri": [f"{folder}/{name}"], "first": pa.array([keys[0]], pa.int64()), "last": pa.array([keys[-1]], pa.int64()), "n_rows": [len(keys)], "n_ids": [sum(map(len, rows))]}
             )
 
-        for batch in batches:
+        for batch in slices(batches):
             for key, text in zip(each(batch.column(0)), each(batch.column(1))):
                 ids = np.r_[enc.encode(text), np.uint32(end_id)]
                 keys.append(key)
