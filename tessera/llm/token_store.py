@@ -36,6 +36,8 @@ MAGIC = b"TOKSHRD2"
 BLOCK, BLOCK_BYTES = 512, 72
 SLOT = np.dtype([("print", "<u4"), ("first", "<i8"), ("count", "<i8")])
 SHARD_IDS = 1 << 23
+#: Files of the manifest, at most; it has one small row a shard.
+MANIFEST_FILES = 8
 END_ID = 1
 GAMMA = 2
 
@@ -247,7 +249,7 @@ def write_tokens(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col:
     parts = parts.select("part", (F.sum("sum").over(Window.orderBy("part")) - F.col("sum")).alias("earlier"))
     inner = F.sum("n_ids").over(Window.partitionBy("part").orderBy("number")) - F.col("n_ids")
     said = said.withColumn("inner", inner).join(parts, "part")
-    said.select("uri", "first", "last", "n_rows", "n_ids", (F.col("earlier") + F.col("inner")).alias("before")).write.mode("overwrite").parquet(f"{folder}/manifest")
+    said.select("uri", "first", "last", "n_rows", "n_ids", (F.col("earlier") + F.col("inner")).alias("before")).coalesce(MANIFEST_FILES).write.mode("overwrite").parquet(f"{folder}/manifest")
     return Store(docs.sparkSession, folder)
 
 
