@@ -142,14 +142,17 @@ def bigrams(x: Column) -> Column:
     return F.when(F.length(low) > 1, F.array_distinct(pairs)).otherwise(F.array().cast("array<string>"))
 
 
-def same_person(a: Column, b: Column) -> Column:
-    """Equal, one within the other, or half of the fewer bigrams shared; case does not count."""
-    la, lb = F.lower(a), F.lower(b)
-    ba, bb = bigrams(a), bigrams(b)
+def alike(la: Column, ba: Column, lb: Column, bb: Column) -> Column:
+    """I10 for two names in lower case and their bigrams."""
     shared = F.size(F.array_intersect(ba, bb)) * 2 >= F.least(F.size(ba), F.size(bb))
     return F.contains(la, lb) | F.contains(lb, la) | ((F.size(ba) > 0) & (F.size(bb) > 0) & shared)
 
 
+def same_person(a: Column, b: Column) -> Column:
+    """Equal, one within the other, or half of the fewer bigrams shared; case does not count."""
+    return alike(F.lower(a), bigrams(a), F.lower(b), bigrams(b))
+
+
 _MONTH = "|".join(C.MONTHS + [m[:3] for m in C.MONTHS])
 _EDGE = r"(?iuU)\b"
 DAY_ISO = r"(?U)\b([0-9]{4})-([0-9]{2})-([0-9]{2})\b"

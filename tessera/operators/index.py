@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -91,22 +91,27 @@ def ambiguous_names(spellings: DataFrame) -> DataFrame:
 
 def alias_groups(named: DataFrame) -> DataFrame:
     """(user_id, alias, canonical). In order of first appearance a name joins the first canonical name that it matches,
-    else becomes one; ambiguous names stand alone. The fold runs over the distinct names of one user."""
+    else becomes one; ambiguous names stand alone. The fold runs over the distinct names of one user, whose bigrams are made
+    before it."""
     spell = first_spellings(named)
     odd = ambiguous_names(spell).withColumn("odd", F.lit(True))
     d = spell.join(odd, ["user_id", "alias"], "left").withColumn("odd", F.coalesce("odd", F.lit(False)))
-    per_user = d.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("ord", "alias", "spelling", "odd"))).alias("names"))
+    d = d.withColumn("grams", T.bigrams(F.col("spelling")))
+    per_user = d.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("ord", "alias", "spelling", "odd", "grams"))).alias("names"))
 
     def step(acc: Column, x: Column) -> Column:
-        match = F.get(F.filter(acc["canons"], lambda c: T.same_person(c, x["spelling"])), F.lit(0))
-        target = F.when(x["odd"], x["spelling"]).otherwise(F.coalesce(match, x["spelling"]))
-        new = ~x["odd"] & match.isNull()
-        return F.struct(
-            F.when(new, F.concat(acc["canons"], F.array(x["spelling"]))).otherwise(acc["canons"]).alias("canons"),
-            F.concat(acc["out"], F.array(F.struct(x["alias"].alias("alias"), target.alias("canonical")))).alias("out"),
-        )
-
-    start = F.struct(F.array().cast("array<string>").alias("canons"), F.array().cast("array<struct<alias:string,canonical:string>>").alias("out"))
+        def joined(match: Column) -> Column:
+            target = F.when(x["odd"], x["spelling"]).otherwise(F.coalesce(match, x["spelling"]))
+            own = F.struct(*(x[f].alias(f) for f in ("spelling", "alias", "grams")))
+            return F.struct(
+                F.when(~x["odd"] & match.isNull(), F.concat(acc["canons"], F.array(own))).otherwise(acc["canons"]).alias("canons"),
+                F.concat(acc["out"], F.array(F.struct(x["alias"].alias("alias"), target.alias("canonical")))).alias("out"),
+            )
+
+        alike = F.filter(acc["canons"], lambda c: T.alike(c["alias"], c["grams"], x["alias"], x["grams"]))
+        return T.let(F.get(alike, F.lit(0))["spelling"], joined)
+
+    start = F.struct(F.array().cast("array<struct<spelling:string,alias:string,grams:array<string>>>").alias("canons"), F.array().cast("array<struct<alias:string,canonical:string>>").alias("out"))
     return per_user.select("user_id", F.explode(F.aggregate("names", start, step, lambda acc: acc["out"])).alias("g")).select("user_id", "g.alias", "g.canonical")
 
 
@@ -132,6 +137,14 @@ def version_of(df: DataFrame) -> str:
     return f"{r['c']}-{r['t']}-{r['n']}"
 
 
+def _put(table: DataFrame, path: str, name: str) -> None:
+    table.sortWithinPartitions("user_id").write.mode("overwrite").parquet(f"{path}/{name}")
+
+
+def _put_version(spark: SparkSession, path: str, version: str) -> None:
+    spark.createDataFrame([(version,)], "version string").coalesce(1).write.mode("overwrite").parquet(f"{path}/version")
+
+
 @dataclass
 class Index:
     """The tables of one version of a store (I17): build once, keep or write them, and share them between searches."""
@@ -160,9 +173,21 @@ class Index:
         """Parquet under path, sorted by user within files, so that a search for few users prunes row groups. The version is
         written last: an index whose writing broke off has none."""
         for k, v in self.tables().items():
-            v.sortWithinPartitions("user_id").write.mode("overwrite").parquet(f"{path}/{k}")
-        spark = self.rows.sparkSession
-        spark.createDataFrame([(version,)], "version string").coalesce(1).write.mode("overwrite").parquet(f"{path}/version")
+            _put(v, path, k)
+        _put_version(self.rows.sparkSession, path, version)
+
+    @classmethod
+    def create(cls, segments: DataFrame, path: str, version: str = "") -> Index:
+        """build_index() and write() in one: each table is made of those already written, so texts are tokenized and names are
+        found once. Beside the index's tables the folder then holds the names of the rows."""
+
+        def keep(name: str, table: DataFrame) -> DataFrame:
+            _put(table, path, name)
+            return segments.sparkSession.read.parquet(f"{path}/{name}")
+
+        made = build_index(segments, keep)
+        _put_version(segments.sparkSession, path, version)
+        return made
 
     @classmethod
     def stored_version(cls, spark, path: str) -> str | None:
@@ -178,7 +203,7 @@ class Index:
         read while it is replaced: each version has a folder of its own."""
         place = f"{path}/{version or 'index'}"
         if cls.stored_version(spark, place) != version:
-            build_index(segments()).write(place, version)
+            cls.create(segments(), place, version)
         return cls.read(spark, place, vectors)
 
     @classmethod
@@ -187,14 +212,19 @@ class Index:
         return cls(**{k: spark.read.parquet(f"{path}/{k}") for k in names})
 
 
-def build_index(segments: DataFrame) -> Index:
+def build_index(segments: DataFrame, keep: Callable[[str, DataFrame], DataFrame] = lambda name, table: table) -> Index:
     """All index tables of a segment table; its embedding column, if any, becomes the vectors table (user_id, pos,
-    embedding)."""
-    rows = index_rows(segments)
-    post, stats = postings(rows), corpus_stats(rows)
-    named = names_of_rows(rows)
-    groups = alias_groups(named)
+    embedding, norm). keep() gets each table by its name and returns what later tables are made of: the table itself, or the
+    same rows written."""
+    rows = keep("rows", index_rows(segments))
+    post, stats = keep("postings", postings(rows)), keep("stats", corpus_stats(rows))
+    terms = keep("terms", term_stats(post, stats))
+    named = keep("names", names_of_rows(rows))
+    groups = keep("aliases", alias_groups(named))
+    entities = keep("entities", entity_postings(named, groups))
+    dates, rules = keep("dates", date_postings(rows)), keep("rules", rule_rows(rows))
     vectors = None
     if "embedding" in segments.columns:
         vectors = positions(segments).where("embedding is not null").select("user_id", "pos", "embedding").withColumn("norm", T.norm(F.col("embedding")))
-    return Index(rows, post, stats, term_stats(post, stats), groups, entity_postings(named, groups), date_postings(rows), rule_rows(rows), vectors)
+        vectors = keep("vectors", vectors)
+    return Index(rows, post, stats, terms, groups, entities, dates, rules, vectors)
