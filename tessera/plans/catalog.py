@@ -487,7 +487,7 @@ def s16_sessions_json(spark, sf_dir):
     t = _turns(spark, sf_dir)
     s = t.groupBy("conv_id", "s").agg(_listed(t, F.col("role").alias("speaker"), F.col("content").alias("text"), F.concat(F.lit("D"), F.col("turn").cast("string")).alias("dia_id")).alias("turns"))
     named = F.map_from_entries(F.collect_list(F.struct(F.concat(F.lit("session_"), (F.col("s") + 1).cast("string")), F.to_json("turns"))))
-    dates = F.map_from_entries(F.collect_list(F.struct(F.concat(F.lit("session_"), (F.col("s") + 1).cast("string"), F.lit("_date_time")), F.concat(F.lit('"12:56 pm on '), (F.col("s") + 8).cast("string"), F.lit(' May, 2023"')))))
+    dates = F.map_from_entries(F.collect_list(F.struct(F.concat(F.lit("session_"), (F.col("s") + 1).cast("string"), F.lit("_date_time")), F.concat(F.lit('"12:56 pm on '), F.date_format(F.date_add(F.lit("2023-05-08").cast("date"), F.col("s")), "d MMMM, yyyy"), F.lit('"')))))
     body = F.array_join(F.transform(F.map_entries(F.map_concat("a", "b")), lambda e: F.concat(F.lit('"'), e["key"], F.lit('": '), e["value"])), ", ")
     c = s.groupBy("conv_id").agg(named.alias("a"), dates.alias("b"))
     rows = c.select(F.concat(F.lit('{"qa": [{"question": "'), F.col("conv_id").cast("string"), F.lit('", "answer": "x", "category": 1}], "conversation": {'), body, F.lit("}}")).alias("value"))

@@ -3,12 +3,18 @@ ref), questions (conv, qid, category, question, options, answer, gold)."""
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+from itertools import chain, groupby
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators.evaluation import anchor_time
+from .scratch import cut
 
 # Names of the question categories.
 CATEGORIES = {1: "multi-hop", 2: "temporal", 3: "open-domain", 4: "single-hop", 5: "adversarial"}
@@ -24,10 +30,101 @@ def read_jsonl(spark: SparkSession, path: str, schema: str | None = None) -> Dat
     return (reader.schema(schema) if schema else reader).json(path)
 
 
+_ESCAPE = re.compile(r"(?s)\\.")
+_BEFORE = re.compile(r'(?s)(?:[^"{]|"(?:[^"\\]|\\.)*")*')
+
+
+def _braces(piece: str) -> tuple[int, int, int]:
+    """(quotes, opening braces before the first quote, behind the second and so on, opening braces between the others)."""
+    parts = (_ESCAPE.sub("", piece) if "\\" in piece else piece).split('"')
+    return len(parts) - 1, sum(p.count("{") for p in parts[::2]), sum(p.count("{") for p in parts[1::2])
+
+
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple[str, int], bool, Iterator[str]]]:
+    """((file, start), whether the file ends here, pieces) of each part of a file that a task reads."""
+    rows = ((f, at, end, v) for b in batches for k in range(0, len(b), 1024) for v, f, at, end in zip(*(c.to_pylist() for c in b.slice(k, 1024).columns)))
+    for (f, at, end), group in groupby(rows, key=lambda r: r[:3]):
+        yield (f, at), end, (r[3] for r in group)
+
+
+def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each part of a file and for either state at its start (outside a string, inside one): the state at its end,
+    the change of depth, the lowest depth behind a closing brace and how often it is reached. The file's last piece has
+    no closing brace here."""
+    for (file, start), end, pieces in _runs(batches):
+        state = [[inside, 0, 1, 0] for inside in (0, 1)]
+        held = None
+        for piece in chain(pieces, [None]):
+            if held is not None:
+                quotes, even, odd = _braces(held)
+                for x in state:
+                    x[1] += odd if x[0] else even
+                    x[0] ^= quotes & 1
+                    if not x[0] and not (end and piece is None):
+                        x[1] -= 1
+                        if x[1] <= x[2]:
+                            x[2:] = [x[1], x[3] + 1 if x[1] == x[2] else 1]
+            held = piece
+        yield pa.RecordBatch.from_pylist([{"file": file, "start": start, "end": end, "before": k, "inside": x[0], "delta": x[1], "low": x[2], "lows": x[3]} for k, x in enumerate(state)])
+
+
 def _documents(spark: SparkSession, path: str) -> DataFrame:
-    """Each element of a JSON array file, or each line of a JSON lines file, as a variant with its number."""
-    whole = spark.read.text(path, wholetext=True).select(F.try_parse_json("value").alias("v"))
-    return whole.select(F.posexplode(F.try_variant_get("v", "$", "array<variant>")).alias("conv", "v"))
+    """(conv, v): each object of JSON array files, or of JSON lines files, as a variant with its number, in the order of
+    files and places. Values that are no objects are left out. A file is read in pieces that end at a brace, by as many tasks
+    as Spark splits it for: first each part of a file tells what it does to quotes and depth, then, with the state at its
+    start known, its objects are cut out; those that cross parts are put together. So a file may be of any size, and one
+    object of up to the size of a variant."""
+    m = F.col("_metadata")
+    ends = m["file_block_start"] + m["file_block_length"] >= m["file_size"]
+    pieces = spark.read.option("lineSep", "}").text(path).select("value", m["file_path"].alias("file"), m["file_block_start"].alias("start"), ends.alias("end"))
+    parts = pieces.mapInArrow(_summed, "file string, start long, end boolean, before long, inside long, delta long, low long, lows long").collect()  # two rows a part
+    known: dict[tuple[str, int], tuple[int, int, int]] = {}
+    last, inside, depth, number = None, 0, 0, 0
+    for (file, start), rows in groupby(sorted(parts, key=lambda r: (r["file"], r["start"], r["before"])), key=lambda r: (r["file"], r["start"])):
+        if file != last:
+            number += depth > 0
+            last, inside, depth = file, 0, 0
+        known[file, start] = (inside, depth, number)
+        r = list(rows)[inside]
+        number += r["lows"] if depth + r["low"] == 0 else 0
+        inside, depth = r["inside"], depth + r["delta"]
+
+    def cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (file, start), end, pieces in _runs(batches):
+            inside, depth, number = known[file, start]
+            whole, parts, out, size = depth == 0, [], [], 0
+            for piece in pieces:
+                quotes, even, odd = _braces(piece)
+                if not depth:
+                    if not even:
+                        inside ^= quotes & 1
+                        continue
+                    piece = piece[_BEFORE.match(piece).end() :]
+                depth += odd if inside else even
+                inside ^= quotes & 1
+                parts += [piece, "}"]
+                if not inside:
+                    depth -= 1
+                    if not depth:
+                        out.append((number, start, whole, "".join(parts)))
+                        size += len(out[-1][3])
+                        number, whole, parts = number + 1, True, []
+                if size > 1 << 22:
+                    yield _rows(out)
+                    out, size = [], 0
+            if parts:
+                out.append((number, start, False, "".join(parts)))
+            if out:
+                yield _rows(out)
+
+    found = cut(pieces.mapInArrow(cut_out, "conv long, start long, whole boolean, value string"), "objects")
+    crossing = found.where("not whole").groupBy("conv").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("start", "value"))), lambda x: x["value"]), "").alias("value"))
+    return found.where("whole").select("conv", "value").unionByName(crossing).select("conv", F.try_parse_json("value").alias("v"))
+
+
+def _rows(out: list[tuple]) -> pa.RecordBatch:
+    kinds = (pa.int64(), pa.int64(), pa.bool_(), pa.string())
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], ["conv", "start", "whole", "value"])
 
 
 def read_sessions_json(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:

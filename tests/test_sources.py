@@ -82,3 +82,47 @@ def test_pieces_join_to_the_text(spark):
     d = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "i long, t string").select("t", T.sentence_spans(F.col("t")).alias("s"), T.split_long(F.col("t")).alias("p"))
     for r in d.collect():
         assert "".join(r["s"]) == r["t"] and "".join(r["p"]) == r["t"]
+
+
+def _texts(d):
+    return [(r["conv"], r["t"]) for r in d.select("conv", F.to_json("v").alias("t")).orderBy("conv").collect()]
+
+
+def test_array_in_parts(spark, tmp_path):
+    """An array cut anywhere, with braces, quotes and backslashes in its texts, in one line, in several and over two files."""
+    rows = [{"a": i, "t": ['x"}{', "\\", '{"q": "}"}', "é}\n", ""][i % 5] * (i % 7), "l": [{"b": {}}, []]} for i in range(40)]
+    want = [(i, json.dumps(r, ensure_ascii=False, sort_keys=True, separators=(",", ":"))) for i, r in enumerate(rows + rows)]
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for at, size in enumerate(("150", "3k", "128m")):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            d = tmp_path / str(at)
+            d.mkdir()
+            (d / "a.json").write_text(json.dumps(rows, indent=1))
+            (d / "b.json").write_text(json.dumps(rows, ensure_ascii=False))
+            assert _texts(D._documents(spark, str(d))) == want
+            (d / "c.jsonl").write_text("\n".join(map(json.dumps, rows)))
+            (d / "d.json").write_text("[]")
+            (d / "e.json").write_text("")
+            assert [t for _, t in _texts(D._documents(spark, str(d)))] == [t for _, t in want + want[:40]]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_array_beyond_a_variant(spark, tmp_path):
+    """The whole array is larger than the 128 MB that one variant may hold."""
+    turns = [{"speaker": "Ann", "text": "x" * 1_000_000, "dia_id": "D1:1"}]
+    one = json.dumps({"conversation": {"session_1_date_time": "9:00 am on 9 May, 2023", "session_1": turns}, "qa": [{"question": "q", "category": 1}]})
+    with open(tmp_path / "a.json", "w") as f:
+        f.write("[" + ",".join([one] * 140) + "]")
+    m, q = D.read_sessions_json(spark, str(tmp_path / "a.json"))
+    assert m.select(F.count("*"), F.countDistinct("conv"), F.sum(F.length("content"))).first() == (140, 140, 140 * 1_000_005) and q.count() == 140
+
+
+def test_long_conversation_dates(spark, tmp_path):
+    """Sessions go on behind the end of the month."""
+    from tessera.plans import catalog
+
+    spark.createDataFrame([(1, t, "user", f"t{t}") for t in range(130)], "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    got = {r["ref"]: r["timestamp_ms"] for r in catalog.QUERIES["s16_sessions_json"](spark, str(tmp_path)).collect()}
+    assert got == {f"D{t}": float(1683550560000 + t // 4 * 86400000) for t in range(130)}
