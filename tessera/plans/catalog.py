@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -468,10 +469,21 @@ _NOT_BLANK = f"regexp_matches(content, '{S.NOT_WS}')"
 
 
 def _array_file(spark, rows, name):
-    """rows (value), JSON texts, as one JSON array in one file."""
+    """rows (value), JSON texts, as a folder of files, each one JSON array of one partition's rows."""
     path = new_path(spark, name)
-    one = rows.agg(F.concat(F.lit("["), F.array_join(F.collect_list("value"), ","), F.lit("]")).alias("value"))  # the format is one array a file
-    one.coalesce(1).write.text(path)
+
+    def array(batches):
+        before = "["
+        for b in batches:
+            for at in range(0, len(b), 256):
+                out = []
+                for v in b.column(0).slice(at, 256).to_pylist():
+                    out.append(before + v)
+                    before = ","
+                yield pa.RecordBatch.from_pydict({"value": out})
+        yield pa.RecordBatch.from_pydict({"value": ["[]" if before == "[" else "]"]})
+
+    rows.mapInArrow(array, "value string").write.text(path)
     return path
 
 

@@ -126,3 +126,17 @@ def test_long_conversation_dates(spark, tmp_path):
     spark.createDataFrame([(1, t, "user", f"t{t}") for t in range(130)], "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
     got = {r["ref"]: r["timestamp_ms"] for r in catalog.QUERIES["s16_sessions_json"](spark, str(tmp_path)).collect()}
     assert got == {f"D{t}": float(1683550560000 + t // 4 * 86400000) for t in range(130)}
+
+
+def test_haystack_files(spark, tmp_path, monkeypatch):
+    """The query writes an array for each partition, an empty one too, and reads all of them; the array of one is larger than a variant may be."""
+    from tessera.plans import catalog
+
+    monkeypatch.setattr(catalog, "new_path", lambda spark, name: str(tmp_path / name))
+    one = json.dumps({"question_id": "q", "haystack_session_ids": ["a"], "haystack_dates": ["2023/05/20 (Sat) 02:21"], "haystack_sessions": [[{"role": "user", "content": "x" * 1_000_000}]]})
+    rows = spark.range(0, 141, 1, 1).select(F.lit(one).alias("value")).union(spark.range(0, 1, 1, 2).select(F.lit('{"question_id": "r"}')))
+    m, q = D.read_haystack_json(spark, catalog._array_file(spark, rows, "haystack"))
+    arrays = [json.loads(f.read_text()) for f in (tmp_path / "haystack").glob("part-*")]
+    assert sorted(map(len, arrays)) == [0, 1, 141]
+    assert m.select(F.count("*"), F.countDistinct("conv"), F.sum(F.length("content"))).first() == (141, 141, 141_000_000)
+    assert {r["qid"]: r["n"] for r in q.groupBy("qid").agg(F.countDistinct("conv").alias("n")).collect()} == {"q": 141, "r": 1}
