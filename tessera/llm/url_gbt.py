@@ -41,7 +41,8 @@ TREES = 40
 HOT = 2000
 #: Up to so many urls the driver holds their bins, 20 bytes a url; more stay in a table, whose tasks send sums.
 HELD = 1 << 18
-#: Tasks that send sums, at most.
+#: Urls of one task that sends sums, and such tasks at most.
+SHARE = 1 << 15
 TASKS = 256
 BINS = 32
 #: Scores are compared with the threshold in steps of 1 / STEPS.
@@ -287,7 +288,7 @@ def train_all(labelled: DataFrame, precision: float = 0.9) -> tuple[UrlModel, Da
                 yield pa.RecordBatch.from_arrays([pa.array([bins.tobytes()], pa.binary()), pa.array([b.column("label").to_numpy(zero_copy_only=False).astype(np.uint8).tobytes()], pa.binary())], ["bins", "y"])
 
     taken = lambda bins, y: (np.frombuffer(bins, dtype=np.uint8).reshape(-1, len(FEATURES)), np.frombuffer(y, dtype=np.uint8).astype(float))
-    rows = cut(learnt.mapInArrow(binned, "bins binary, y binary").coalesce(max(1, min(TASKS, n // HELD))), "bins")
+    rows = cut(learnt.mapInArrow(binned, "bins binary, y binary").coalesce(max(1, min(TASKS, n // SHARE))), "bins")
     if n <= HELD:
         held = [taken(*r) for r in rows.collect()]
         bins, y = (np.concatenate(c) for c in zip(*held)) if held else taken(b"", b"")
