@@ -19,7 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import TEXTS, cut, each, free_name, give_back, may_hold, raw, row_filter, slices
@@ -40,6 +40,8 @@ UNIT_NAMES = 1 << 19
 BITMAP = 1 << 26
 #: Shingles counted at a time; one that a block holds once is not carried on (lossy counting).
 BLOCK = 1 << 20
+#: The last place that a name's row tells apart, all of its lowest 16 bits.
+LAST = (1 << 16) - 1
 #: Sets that one task compares with one hub before the rest go to another.
 PROBED = 1000
 
@@ -234,15 +236,16 @@ def _first_pass(docs: DataFrame, size: int) -> DataFrame:
 
 
 def _parts(docs: DataFrame, order: Order, size: int, percent: int) -> DataFrame:
-    """(g, d, n, p) for each name in the part of each distinct set of a task, p its place from 0. g has 48 bits: names that fall together by chance
-    only add work."""
+    """(k, d, n) for each name in the part of each distinct set of a task. k holds 48 bits of the name and below them its
+    place from 0, LAST at most: names that fall together by chance and places that are told too early only add work. Of all
+    shuffles this is the largest, and what differs between neighbours lies side by side, so that it is compressed well."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
-        g, d, n, p, held = [], [], [], [], 0
+        k, d, n, held = [], [], [], 0
 
         def out() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([_signed(np.concatenate(g)), pa.array(np.concatenate(d)), pa.array(np.concatenate(n)), pa.array(np.concatenate(p))], ["g", "d", "n", "p"])
+            return pa.RecordBatch.from_arrays([_signed(np.concatenate(k)), pa.array(np.concatenate(d)), pa.array(np.concatenate(n))], ["k", "d", "n"])
 
         for batch in slices(batches):
             for body in each(batch.column(2)):
@@ -250,19 +253,18 @@ def _parts(docs: DataFrame, order: Order, size: int, percent: int) -> DataFrame:
                 if not len(names) or (key := digest(names)[0]) in seen:
                     continue
                 seen.add(key)
-                k = part_size(len(names), percent)
-                g.append(order.sort(names)[:k] >> np.uint64(16))
-                d.append(np.full(k, key, dtype=np.int64))
-                n.append(np.full(k, len(names), dtype=np.int32))
-                p.append(np.arange(k, dtype=np.int32))
-                held += k
+                part = part_size(len(names), percent)
+                k.append(order.sort(names)[:part] & ~np.uint64(LAST) | np.minimum(np.arange(part, dtype=np.uint64), np.uint64(LAST)))
+                d.append(np.full(part, key, dtype=np.int64))
+                n.append(np.full(part, len(names), dtype=np.int32))
+                held += part
                 if held >= ROWS:
                     yield out()
-                    g, d, n, p, held = [], [], [], [], 0
-        if g:
+                    k, d, n, held = [], [], [], 0
+        if k:
             yield out()
 
-    return docs.mapInArrow(run, "g long, d long, n int, p int")
+    return docs.mapInArrow(run, "k long, d long, n int")
 
 
 def _runs(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[list[np.ndarray]]:
@@ -291,7 +293,8 @@ def _meetings(parts: DataFrame, percent: int) -> DataFrame:
         for batch in batches:
             if not len(batch):
                 continue
-            now = [batch.column(k).to_numpy() for k in range(4)]
+            k, d, n = (batch.column(c).to_numpy() for c in range(3))
+            now = [k >> 16, d, n, (k & LAST).astype(np.int32)]
             rows = [np.r_[a, b] for a, b in zip(rest, now)] if rest else now
             g, d = rows[0], rows[1]
             fresh = np.r_[True, (g[1:] != g[:-1]) | (d[1:] != d[:-1])]  # equal sets of several tasks
@@ -314,7 +317,8 @@ def _meetings(parts: DataFrame, percent: int) -> DataFrame:
         fits = (g[1:] == g[:-1]) & (100 * n[:-1] >= percent * n[1:])  # sizes rise within a run
         return np.r_[False, fits] | np.r_[fits, False]
 
-    rows = parts.repartition("g").sortWithinPartitions("g", "n", "d")
+    name = F.shiftright("k", 16)
+    rows = parts.repartition(name).sortWithinPartitions(name, "n", "d")
     return rows.mapInArrow(run, "g long, d long, n int, p int")
 
 
@@ -331,11 +335,12 @@ def _stars(meetings: DataFrame) -> DataFrame:
 
 
 def _open_sets(meetings: DataFrame, percent: int) -> DataFrame:
-    """(d, score): the sets that meet others often enough for a link to be possible at all, and the share of their part that
-    meets."""
+    """(g, d, n, p, score): the rows of the sets that meet others often enough for a link to be possible at all, and the
+    share of their part that meets. A set's rows meet in one shuffle, to be counted and kept at once; a set has no more of
+    them than its part."""
     n = F.col("n").cast("long")
     up = lambda a, b: F.expr(f"(({a}) + {b} - 1) div {b}")
-    counts = meetings.groupBy("d", "n").agg(F.count(F.lit(1)).alias("c"))
+    counts = meetings.withColumn("c", F.count(F.lit(1)).over(Window.partitionBy("d")))
     counts = counts.withColumn("n", n).withColumn("lo", up(f"{percent} * n", 100)).withColumn("hi", F.expr(f"100 * n div {percent}"))
     part = lambda x: F.greatest(F.expr(f"{x}") - up(f"{percent} * {x}", 100) + 1, up(f"{PART} * {x}", 100))
     least = None
@@ -343,12 +348,20 @@ def _open_sets(meetings: DataFrame, percent: int) -> DataFrame:
         alpha = up(f"{percent} * (n + {m})", 100 + percent)
         value = alpha - F.greatest(F.col("n") - part("n"), F.col(m) - part(m))
         least = value if least is None else F.least(least, value)
-    return counts.where(F.col("c") >= least - 2).select("d", (F.col("c") / part("n")).alias("score"))  # 2: between the ends, rounding may take one or two off
+    return counts.where(F.col("c") >= least - 2).select("g", "d", F.col("n").cast("int").alias("n"), "p", (F.col("c") / part("n")).alias("score"))  # 2: between the ends, rounding may take one or two off
 
 
-def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """pairs (a, b) distinct, sets (d, names) -> the pairs whose sets reach the threshold. Each a is a probe; the sets of
-    its b come behind it in sorted batches and form tries, so memory is bounded by a slice of a batch."""
+def _addressed(sets: DataFrame, pairs: DataFrame) -> DataFrame:
+    """sets (d, names), distinct, with where pairs (a, b), one of each b, take them: hub and salt of a set that is some b,
+    parts of one that is an a; null if it is none. Done while the sets are together by d: names are not sent again for it."""
+    salts = cut(pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / F.lit(PROBED)).cast("int").alias("parts")), "parts")
+    led = pairs.join(salts, "a").select(F.col("b").alias("d"), F.col("a").alias("hub"), F.pmod(F.hash("b"), "parts").alias("salt"))
+    return sets.join(led, "d", "left").join(salts.withColumnRenamed("a", "d"), "d", "left").select("d", "names", "hub", "salt", "parts")
+
+
+def _linked(sets: DataFrame, percent: int) -> DataFrame:
+    """sets as of _addressed() -> the pairs (hub, set) that reach the threshold. Each hub is a probe; its sets come behind
+    it in sorted batches and form tries, so memory is bounded by a slice of a batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lead, probe = None, None
@@ -371,10 +384,8 @@ def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], ["a", "b"])
 
-    salts = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / F.lit(PROBED)).cast("int").alias("parts"))
-    other = pairs.join(salts, "a").select("a", "b", F.pmod(F.hash("b"), "parts").alias("salt"))
-    other = other.join(sets, F.col("b") == F.col("d")).select("a", "salt", "b", "names", F.lit(1).alias("kind"))
-    own = salts.join(sets, F.col("a") == F.col("d")).select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("salt"), F.col("a").alias("b"), "names", F.lit(0).alias("kind"))
+    other = sets.where("hub is not null").select(F.col("hub").alias("a"), "salt", F.col("d").alias("b"), "names", F.lit(1).alias("kind"))
+    own = sets.where("parts is not null").select(F.col("d").alias("a"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("salt"), F.col("d").alias("b"), "names", F.lit(0).alias("kind"))
     rows = own.unionByName(other).repartition("a", "salt").sortWithinPartitions("a", "salt", "kind", "names")
     rows = rows.select(F.col("a"), F.col("b"), F.col("names"), "kind")
     return rows.mapInArrow(run, "a long, b long")
@@ -469,10 +480,11 @@ def _joined(pairs: DataFrame, units: DataFrame, sets: DataFrame, percent: int) -
 
     own = units.select(F.col("u").alias("a"), "d", "component")
     probes = pairs.join(units.select(F.col("u").alias("b"), "d", "component", "size"), "b").select("a", "d", "component", "size")
-    probes = probes.join(sets.select("d", "names"), "d")
-    salts = probes.groupBy("a").agg(F.ceil(F.sum(F.octet_length("names")) / F.lit(8 * UNIT_NAMES)).cast("int").alias("parts"))
+    sets = sets.select("d", "names")
+    sizes = sets.select("d", F.octet_length("names").alias("bytes"))  # before the join: names need not be sent to be counted
+    salts = probes.join(sizes, "d").groupBy("a").agg(F.ceil(F.sum("bytes") / F.lit(8 * UNIT_NAMES)).cast("int").alias("parts"))
     salts = cut(salts, "salts")
-    probes = probes.join(salts, "a").select("a", F.pmod(F.hash("d"), "parts").alias("salt"), F.lit(1).alias("kind"), "d", "component", "names")
+    probes = probes.join(sets, "d").join(salts, "a").select("a", F.pmod(F.hash("d"), "parts").alias("salt"), F.lit(1).alias("kind"), "d", "component", "names")
     tries = salts.join(own, "a").join(sets, "d").select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("salt"), F.lit(0).alias("kind"), "d", "component", "names")
     rows = tries.unionByName(probes).repartition("a", "salt").sortWithinPartitions("a", "salt", "kind", "component", "d")
     return rows.mapInArrow(run, "a long, b long")
@@ -500,9 +512,8 @@ def _found(docs: DataFrame, id_col: str, text_col: str, size: int, percent: int)
     top = frequent.orderBy(F.desc("c"), "g").limit(MAX_FREQUENT).toPandas()  # at most MAX_FREQUENT rows
     order = Order(top["g"].to_numpy(np.int64).view(np.uint64), top["c"].to_numpy(np.int64))
 
-    meetings = cut(_meetings(_parts(rows, order, size, percent), percent), "meetings")
-    open_ = cut(_open_sets(meetings, percent), "open")
-    meetings = cut(meetings.join(open_, "d"), "meetings")
+    meetings = cut(_open_sets(_meetings(_parts(rows, order, size, percent), percent), percent), "meetings")
+    open_ = cut(meetings.select("d").distinct(), "open")
     stars = cut(_stars(meetings), "stars")
     wanted = _bitmap(open_.select(F.col("d").alias("d0")).join(classes, "d0").select("th"))
 
@@ -517,9 +528,9 @@ def _found(docs: DataFrame, id_col: str, text_col: str, size: int, percent: int)
         give_back()
 
     sets = rows.select("th", "body").mapInArrow(ordered, "d long, names binary").join(open_.select("d"), "d", "left_semi")
-    sets = cut(sets.dropDuplicates(["d"]), "ordered")
+    sets = cut(_addressed(sets.dropDuplicates(["d"]), stars), "ordered")
 
-    links = cut(_linked(stars, sets, percent), "links")
+    links = cut(_linked(sets, percent), "links")
     units = cut(_units(meetings, connected_components(links)), "units")
     across = cut(_unit_pairs(meetings, units, percent), "across")
     links = links.unionByName(_joined(across, units, sets, percent))

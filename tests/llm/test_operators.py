@@ -601,6 +601,28 @@ def test_jaccard_keeps_one_row_of_each(spark):
     assert {(None, None), (None, ""), (21, "  ")} <= set(got)
 
 
+def test_jaccard_joins_do_not_send_names(spark, corpus, monkeypatch):
+    written = {}
+    monkeypatch.setattr(ngram_join, "cut", lambda df, name: written.setdefault(name, []).append(df) or cut(df, name))
+    assert answer(ngram_join.jaccard_components(frame(spark, corpus)), "doc_id", "n_shingles", "component_id") == brute_components(corpus)
+
+    def joins(plan):
+        found = [plan.output().mkString(" ")] if plan.nodeName() == "Join" else []
+        return found + [x for k in range(plan.children().size()) for x in joins(plan.children().apply(k))]
+
+    sent = {name: [x for df in written[name] for x in joins(df._jdf.queryExecution().optimizedPlan()) if "names#" in x] for name in ("salts", "links")}
+    assert sent == {"salts": [], "links": []}  # names come with their hub from the table of sets, and lengths are taken before a join
+
+
+def test_jaccard_places_beyond_the_last(spark):
+    r = random.Random(12)
+    words = prose(r, 200_000, 10**9).split()
+    other = prose(r, 200_000, 10**9).split()
+    rows = [(1, " ".join(words)), (2, " ".join(words[:-20_000])), (3, " ".join(other))]
+    assert ngram_join.part_size(len(words) - 4) > ngram_join.LAST
+    assert answer(ngram_join.jaccard_components(frame(spark, rows)), "doc_id", "component_id") == [(1, 1), (2, 1), (3, 3)]
+
+
 def test_trie_walk_equals_brute_force():
     r = np.random.default_rng(1)
     for _ in range(30):
