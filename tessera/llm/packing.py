@@ -95,6 +95,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokeni
         stops = np.zeros(max(enc.vocab_size, end_id + 1), dtype=bool)
         stops[sentence_ids(enc.token_strings())] = True
         sequence = TaskContext.get().partitionId() << 33
+        closing = np.array([end_id], dtype=np.uint32)
         keys: list = []
         parts: list[np.ndarray] = []
         held = 0
@@ -139,7 +140,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokeni
         for batch in slices(batches):
             kind = batch.schema.field(0).type
             for key, text in zip(each(batch.column(0)), each(batch.column(1))):
-                ids = np.r_[enc.encode(text), np.uint32(end_id)]
+                ids = np.concatenate((enc.encode(text), closing))
                 keys.append(key)
                 parts.append(ids)
                 held += len(ids)

@@ -299,6 +299,19 @@ def test_encoder_equals_library_on_all_documents(spark):
             assert enc.encode(t).tolist() == e.ids
 
 
+def test_memo_keeps_words_in_use(monkeypatch):
+    monkeypatch.setattr(tokens, "MEMO", 20)
+    enc = tokens.Encoder(tokens.default_path())
+    asked = collections.Counter()
+    word = enc.words.encode
+    enc.words.encode = lambda w: asked.update([w]) or word(w)
+    texts = [f"the house {a}q{b} \x01\x7f café" for a in "abcdefghij" for b in "abcdefghij"]
+    for t in texts:
+        assert enc.encode(t).tolist() == enc.tok.encode(t, add_special_tokens=False).ids
+    assert len(asked) == 104 and set(asked.values()) == {1}
+    assert len(enc.words) <= 20 and len(enc.words.aside) <= 20
+
+
 def test_perfect_hash_is_minimal():
     keys = np.unique(np.random.default_rng(0).integers(-(2**62), 2**62, 5000))
     mph = token_store.PerfectHash.build(keys)
